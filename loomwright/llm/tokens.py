@@ -15,7 +15,9 @@ can be used; for others, whole texts are encoded.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,13 @@ from .arrowtext import flat, slices
 from .common import local_path, new_path, table
 
 SEQUENCE, PER_BATCH = 2048, 256
-#: Pieces kept with their ids in each Python worker (about 150 bytes each), and the longest piece that is kept.
-CACHE, CACHED_BYTES = 400_000, 48
+#: Pieces kept with their ids in each of a worker's two generations (about 180 bytes each), and the longest that is kept.
+CACHE, CACHED_BYTES = 250_000, 48
 #: Bytes of text that are encoded at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 6 << 20
+#: A piece of at most one line feed, one word of Latin letters with at most one blank before it, and marks: byte-level
+#: pre-tokenisation splits it into just these parts.
+_SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]*)")
 #: White space beyond ASCII, and the ASCII control characters that some patterns count as white space.
 _OTHER_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
 _BLANK = np.zeros(256, bool)
@@ -52,10 +57,53 @@ class Encoder:
         pre, rest = json.loads(spec).get("pre_tokenizer") or {}, json.loads(spec)
         self.pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not rest.get("normalizer")
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.code = "H" if self.dtype == np.uint16 else "I"
+        model = rest.get("model") or {}
+        # a BPE model alone, on the bytes' stand-ins, encodes what pre-tokenisation leaves whole
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.model = self.tok.model if plain and not any(t["content"].isalpha() for t in rest.get("added_tokens", [])) else None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.signs = dict(zip(shown, shown, strict=True)) | {b: 256 + i for i, b in enumerate(hidden)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        key = part.encode()
+        got = self.new.get(key) or self.old.get(key)
+        if got is None:
+            got = array(self.code, [t.id for t in self.model.tokenize(key.decode("latin-1").translate(self.signs))]).tobytes()
+            if len(key) <= CACHED_BYTES:
+                self.new[key] = got
+        return got
+
+    def _lookup(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; new ones are kept."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old, got, hard = self.new, self.old, [None] * len(pieces), []
+        for i, p in enumerate(pieces):
+            x = new.get(p)
+            if x is None:
+                x = old.get(p)
+                if x is None:
+                    m = self.model and _SIMPLE.fullmatch(p.decode())
+                    if not m:
+                        hard.append(i)
+                        continue
+                    a, b, c = m.groups()
+                    x = (self._part(a) if a else b"") + self._part(b) + (self._part(c) if c else b"")
+                if len(p) <= CACHED_BYTES:
+                    new[p] = x
+            got[i] = x
+        for i, x in zip(hard, self._ids([pieces[i].decode() for i in hard]), strict=True):
+            got[i] = x
+            if len(pieces[i]) <= CACHED_BYTES:
+                new[pieces[i]] = x
+        return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts together and where each text's ids end."""
@@ -80,15 +128,7 @@ class Encoder:
         at = np.flatnonzero(first)
         bounds = np.append(at, len(data)).astype(np.int64)
         codes = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(bounds), buffer]).dictionary_encode()
-        distinct = codes.dictionary.to_pylist()
-        cache = self.cache
-        missing = [x for x in distinct if x not in cache]
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = distinct
-        new = dict(zip(missing, self._ids([x.decode() for x in missing]), strict=True))
-        got = [new[x] if x in new else cache[x] for x in distinct]
-        cache.update((k, v) for k, v in new.items() if len(k) <= CACHED_BYTES)
+        got = self._lookup(codes.dictionary.to_pylist())
         width = np.dtype(self.dtype).itemsize
         lengths = np.fromiter(map(len, got), np.int64, len(got)) // width
         ids = np.frombuffer(b"".join(got), self.dtype)
