@@ -57,7 +57,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text") ->
     rows = docs.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     totals = rows.groupBy("host").agg(F.greatest(F.lit(float(LIMIT_DOCS)), LIMIT_SHARE * F.count(F.lit(1))).alias("most")).withColumnRenamed("host", "h")
     keys = f"array_distinct(transform({_LINES.format(t='t')}, l -> {_KEY.format(l='l')}))"
-    rows = rows.select("host", F.expr(f"xxhash64({longest})").alias("like"), F.explode(F.expr(keys)).alias("line"))
+    rows = rows.select("host", F.expr(f"xxhash64({longest})").alias("like"), "t").select("host", "like", F.explode(F.expr(keys)).alias("line"))  # `like` once a document
     counts = rows.groupBy("host", "line", "like").agg(F.count(F.lit(1)).alias("_")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") > LIMIT_DOCS)  # most pairs end here
     return counts.join(totals, F.col("host").eqNullSafe(F.col("h")) & (F.col("n") > F.col("most"))).select("host", "line")
