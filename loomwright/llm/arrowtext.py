@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Buffer]:
@@ -26,7 +27,7 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most `most` bytes together; a longer text is a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))) if len(texts) else np.zeros(0)
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))) if len(texts) else np.zeros(0)
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))

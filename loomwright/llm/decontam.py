@@ -37,12 +37,12 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Words:
-    """The lower-cased words of several texts: start and end of each in `data`, its hash, its text's number."""
+    """The lower-cased words, runs of the bytes in `signs`, of several texts: start and end of each in `data`, its hash, its text's number."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, signs: np.ndarray = _WORD):
         data, offsets, _ = flat(texts)
         self.data = _LOWER[data]
-        inside = _WORD[self.data]
+        inside = signs[self.data]
         edge = np.zeros(len(inside) + 1, bool)
         edge[offsets] = True
         before, after = np.append(False, inside[:-1]) if len(inside) else inside, np.append(inside[1:], False) if len(inside) else inside
