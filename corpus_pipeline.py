@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import materialize, table
 from loomwright.llm.decontam import decontaminate
+from loomwright.llm.jaccard import drop_near_copies
 from loomwright.llm.mixing import mix
 from loomwright.llm.quality import quality
 from loomwright.llm.tokens import token_files
@@ -21,6 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.where(v["kept"]).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id."""
+    return drop_near_copies(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +40,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("decontamination", decontamination), ("source mixing", mixing), ("token output", token_output)]
+STAGES = [("quality rules", quality_rules), ("near copies", near_copies), ("decontamination", decontamination), ("source mixing", mixing), ("token output", token_output)]
 
 #: Token ids can't be made in SQL; the stages are tested one by one against brute force instead.
 ORACLE_SQL = None
