@@ -4,13 +4,16 @@ Sets in size bands: with U the greatest size of a band, two sets with a Jaccard
 the band and the other no smaller, differ in U / 4 shingles at most. The feature domain is partitioned by hash into
 n = U / 4 + 1 + E parts, and each part that a set meets gives one signature (the subsets enumerated have one part), so
 similar sets share E + 1 parts at least. Parts that are empty in both would be no evidence; a set with E empty parts or
-fewer has a shared part that isn't empty. A set with more of them also gives the signatures of the next scheme, up to a
-last one in which empty parts count. The first scheme leaves out frequent shingles, which can't make sets differ more.
-A set enters its own band and, where a smaller partner could be in the band below, that band too.
+fewer has a shared part that isn't empty. A set with more of them also gives the signatures of the next scheme, which
+has a greater E. All these leave out frequent shingles, which can't make sets differ more; the last scheme has all
+shingles, and empty parts count in it. A set enters its own band and, where a smaller partner could be in the band
+below, that band too.
 
 Sets with a common signature are tied to one of them and verified on their texts; where a signature's sets don't all end
 up in one component, the pairs across components are verified too, unless the triangle inequality of the Jaccard
-distance rules them out. So no link between components is lost, and no group is expanded into all its pairs.
+distance rules them out. So no link between components is lost, and no group is expanded into all its pairs. Before
+texts are fetched, a sketch of 512 parities of each set rules pairs out: each parity that differs takes a shingle that
+only one of the sets has.
 
 Shingles and signatures are 64-bit hashes; equal texts are one set from the start.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import slices
-from .common import materialize, table
+from .common import forget, materialize, table
 from .components import components
 from .decontam import Words
 
@@ -34,8 +37,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SAMPLE, FREQUENT, MOST_FREQUENT = 2000, 4, 200_000
 #: Bytes of text worked on at once, buckets of signatures, signatures that a task holds before it passes them on.
 AT_ONCE, BUCKETS, HELD = 2 << 20, 1024, 1_000_000
-#: Schemes after the first, each with a seed of its own.
-SCHEMES = 3
+#: E as a share of all parts, in the schemes without frequent shingles.
+SLACK = (1 / 6, 1 / 3, 1 / 2)
 #: Documents known to be signed already that a task remembers.
 REMEMBERED = 1_000_000
 
@@ -44,6 +47,7 @@ _SIGNS[[9, 10, 11, 12, 13, 32]] = False
 _C = np.random.default_rng(9).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 _ROW = np.dtype([("sig", "<u8"), ("key", "<i8")])
+_SET = np.dtype([("key", "<i8"), ("n", "<i8"), ("sketch", "<i8", 8)])
 
 
 def mixed(x: np.ndarray, c: int = 0) -> np.ndarray:
@@ -91,11 +95,11 @@ def signatures(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         rare = x[frequent[np.minimum(at, len(frequent) - 1)] != x]
     for level in levels:
         k = int(_EDGES[level]) // 4
-        slack = k // 5
-        n = k + 1 + slack
-        for scheme in range(SCHEMES + 1):
-            own_set = x if scheme else rare
-            y = mixed(own_set, scheme)
+        for scheme, share in enumerate((*SLACK, SLACK[0])):
+            last = scheme == len(SLACK)
+            slack = int(k * share / (1 - share))
+            n = k + 1 + slack
+            y = mixed(x if last else rare, scheme)
             part = (y >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
             p, v = part[order], (y * _C[14] ^ (y >> _S29) * _C[15])[order]
@@ -103,17 +107,22 @@ def signatures(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             sums = np.add.reduceat(v, first) if len(first) else v[:0]
             tag = np.uint64((level * 8 + scheme) * 0x9E3779B97F4A7C15 & (2**64 - 1))
             out.append(mixed(sums + (p[first] + np.uint64(1)) * _C[13] + tag, 6))
-            empty = n - len(first)
-            if empty <= slack:
+            if n - len(first) <= slack:
                 break
-            if scheme == SCHEMES:  # so few shingles for the parts: empty parts count
+            if last:  # so few shingles for the parts: empty parts count
                 none = np.setdiff1d(np.arange(n, dtype=np.uint64), p[first])
                 out.append(mixed((none + np.uint64(1)) * _C[13] + tag, 6))
     return np.concatenate(out) if out else x[:0]
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """512 parities of a set's shingles by hash, as 8 numbers."""
+    odd = np.bincount((mixed(x, 5) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sign(frequent):
-    """Rows (bucket, data): signatures with keys in buckets 0 and up, sizes of sets (as sig) in buckets below 0."""
+    """Rows (bucket, data): signatures with keys in buckets 0 and up, sets' sizes and sketches in buckets below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -128,13 +137,11 @@ def _sign(frequent):
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if held else np.zeros(0, np.int64)
             names = bucket[cuts].tolist()
             data = [r.tobytes() for r in np.split(rows, cuts[1:])] if held else []
-            own = np.array(sizes, np.int64).reshape(-1, 2)
+            own = np.array(sizes, _SET)
             for i in range(16):
-                if len(part := own[own[:, 1] % 16 == i]):
-                    r = np.empty(len(part), _ROW)
-                    r["sig"], r["key"] = part[:, 0], part[:, 1]
+                if len(part := own[own["key"] % 16 == i]):
                     names.append(-1 - i)
-                    data.append(r.tobytes())
+                    data.append(part.tobytes())
             return pa.record_batch({"bucket": pa.array(names, pa.int32()), "data": pa.array(data, pa.binary())})
 
         for batch in batches:
@@ -146,7 +153,7 @@ def _sign(frequent):
                 if not fresh:
                     continue
                 for i, x in zip(fresh, shingle_sets(texts.take(pa.array(fresh))), strict=True):
-                    sizes.append((len(x), all_keys[i]))
+                    sizes.append((all_keys[i], len(x), sketch(x)))
                     if len(x):
                         s = signatures(x, frequent.value)
                         sigs.append(s)
@@ -162,17 +169,18 @@ def _sign(frequent):
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n) of sets, and (key, rep, bid): sets of more than one key with a common signature.
+    """Rows (key, n, s0 to s7) of sets, and (key, rep, bid): keys of sets with a common signature.
 
-    bid names the set of keys; equal ones are given once by a task.
+    bid names a group of three keys or more (null for two); equal groups are given once by a task.
     """
     parts, sizes = [], []
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            (parts if bucket >= 0 else sizes).append(np.frombuffer(data.as_buffer(), _ROW))
+            (parts if bucket >= 0 else sizes).append(np.frombuffer(data.as_buffer(), _ROW if bucket >= 0 else _SET))
     if sizes:
-        rows = np.unique(np.concatenate(sizes))
-        yield _rows(rows["key"], n=rows["sig"].astype(np.int64))
+        rows = np.concatenate(sizes)
+        rows = rows[np.unique(rows["key"], return_index=True)[1]]
+        yield _rows(rows["key"], n=rows["n"], sketch=rows["sketch"])
     if not parts:
         return
     rows = np.concatenate(parts)
@@ -197,13 +205,23 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     step = 1 << 18
     for a in range(0, len(at), step):
         s = slice(a, a + step)
-        yield _rows(key[at[s]], rep=np.repeat(key[first[pick]], n)[s], bid=np.repeat(bid[pick], n)[s].view(np.int64))
+        yield _rows(key[at[s]], rep=np.repeat(key[first[pick]], n)[s], bid=np.repeat(bid[pick], n)[s].view(np.int64), two=np.repeat(n == 2, n)[s])
+
+
+_NAMES = ["key", "n", "rep", "bid", *[f"s{i}" for i in range(8)]]
+
+
+def _rows(key, n=None, rep=None, bid=None, two=None, sketch=None) -> pa.RecordBatch:
+    kind, size = pa.int64(), len(key)
+    cols = [pa.array(np.ascontiguousarray(c), kind) if c is not None else pa.nulls(size, kind) for c in (key, n, rep)]
+    cols.append(pa.array(bid, kind, mask=two) if bid is not None else pa.nulls(size, kind))
+    cols += [pa.array(np.ascontiguousarray(sketch[:, i]), kind) if sketch is not None else pa.nulls(size, kind) for i in range(8)]
+    return pa.record_batch(cols, names=_NAMES)
 
 
-def _rows(key, n=None, rep=None, bid=None) -> pa.RecordBatch:
-    size = len(key)
-    cols = [pa.array(np.ascontiguousarray(c), pa.int64()) if c is not None else pa.nulls(size, pa.int64()) for c in (key, n, rep, bid)]
-    return pa.record_batch(cols, names=["key", "n", "rep", "bid"])
+def _apart(a: str, b: str) -> str:
+    """SQL for a lower bound of the number of shingles that only one of two sets has, by their sketches."""
+    return "(" + " + ".join(f"bit_count({a}s{i} ^ {b}s{i})" for i in range(8)) + ")"
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,15 +273,20 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
     held = spark.sparkContext.broadcast(_frequent(rows))
     signed = rows.select("key", "text").mapInArrow(_sign(held), "bucket int, data binary")
-    found = materialize(signed.repartition("bucket").mapInArrow(_match, "key bigint, n bigint, rep bigint, bid bigint"), "matches")
+    found = materialize(signed.repartition("bucket").mapInArrow(_match, ", ".join(f"{x} bigint" for x in _NAMES)), "matches")
     spark._jvm.System.gc()  # lets Spark delete the signatures' shuffle files
-    sizes = found.where("n IS NOT NULL").groupBy("key").agg(F.max("n").alias("n"))
+    marks = [f"s{i}" for i in range(8)]
+    sets = materialize(found.where("n IS NOT NULL").select("key", "n", *marks).dropDuplicates(["key"]), "sets")
+    sizes = sets.select("key", "n")
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
-    members = materialize(found.where("bid IS NOT NULL").select("bid", "rep", "key").distinct(), "members")
+    members = materialize(found.where("rep IS NOT NULL").select("bid", "rep", "key").where("bid IS NOT NULL OR key <> rep").distinct(), "members")
+    forget(found)
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sizes, "key").join(sizes.select(F.col("key").alias("rep"), F.col("n").alias("m")), "rep")
-        return p.where("10 * least(n, m) >= 8 * greatest(n, m)").select("key", "rep")
+    # what may be similar by sizes and sketches goes on; of the other pairs, the least distance is kept
+    pairs = members.where("key <> rep").select("key", "rep").distinct().join(sets, "key")
+    pairs = pairs.join(sets.select(*[F.col(c).alias("rep" if c == "key" else f"r{c}") for c in sets.columns]), "rep")
+    far = f"greatest({_apart('', 'r')}, abs(n - rn))"
+    pairs = materialize(pairs.selectExpr("key", "rep", f"{far} AS apart", f"2.0D * {far} / (n + rn + {far}) AS lo", "n + rn AS both"), "pairs")
 
     def check(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = materialize(pairs, "pairs")
@@ -273,21 +296,20 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         texts = rows.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").join(wanted, ["key", "id"]).select("key", "text")
         return materialize(_verified(pairs, texts).distinct(), tag)
 
-    star = check(sized(members.where("key <> rep").select("key", "rep").distinct()), "verified")
+    star = check(pairs.where("9 * apart <= both").select("key", "rep"), "verified")
     linked = "100 * common >= 80 * `union`"
     links = star.where(linked).select(F.col("key").alias("u"), F.col("rep").alias("v"))
     groups = materialize(components(links), "components")
 
-    # signatures whose sets aren't in one component yet
-    own = members.join(groups, F.col("key") == F.col("node"), "left").select("bid", "rep", "key", F.coalesce("component", "key").alias("c"))
-    split = own.groupBy("bid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bid")
-    far = star.select("key", "rep", (1 - F.col("common") / F.col("union")).alias("d"))
-    rest = own.join(split, "bid").join(far, ["key", "rep"], "left").join(sizes, "key")
-    # a pair that was ruled out by its sizes is at least that far apart
-    rest = rest.select("bid", "key", "c", "n", F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.coalesce("d", F.lit(0.2))).alias("lo"), F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("hi"))
-    rest = materialize(rest, "split")
+    # signatures of three sets or more that aren't in one component yet
+    own = members.where("bid IS NOT NULL").join(groups, F.col("key") == F.col("node"), "left").select("bid", "rep", "key", F.coalesce("component", "key").alias("c"))
+    split = own.groupBy("bid").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("bid")
+    known = pairs.join(star, ["key", "rep"], "left").selectExpr("key", "rep", "coalesce(1.0D - common / union, lo) AS lo", "coalesce(1.0D - common / union, 1.0D) AS hi")
+    rest = own.join(split, "bid").join(known, ["key", "rep"], "left").join(sets, "key")
+    rest = rest.select("bid", "key", "rep", "c", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.col("hi")).alias("hi"), "n", *marks)
+    rest = materialize(rest.where("key <> rep"), "split")
     x, y = rest.alias("x"), rest.alias("y")
-    near = "x.lo - y.hi <= 0.2 AND y.lo - x.hi <= 0.2 AND 10 * least(x.n, y.n) >= 8 * greatest(x.n, y.n)"
+    near = f"x.lo - y.hi <= 0.2 AND y.lo - x.hi <= 0.2 AND 9 * greatest({_apart('x.', 'y.')}, abs(x.n - y.n)) <= x.n + y.n"
     across = x.join(y, (F.col("x.bid") == F.col("y.bid")) & (F.col("x.c") < F.col("y.c")) & F.expr(near))
     across = across.select(F.greatest("x.key", "y.key").alias("key"), F.least("x.key", "y.key").alias("rep")).distinct()
     across = across.join(star.select("key", "rep"), ["key", "rep"], "left_anti")

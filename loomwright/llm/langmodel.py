@@ -31,7 +31,7 @@ MODEL = CLASSES * WIDTH
 START, CONTEXTS = MODEL + OTHER, MODEL + OTHER + 1
 #: Hash rows of the pair of words before, and of a feature with a class.
 PAIRS, WITHIN = 1 << 13, 1 << 14
-ROUNDS, RATE, BATCH = 2, 0.2, 8192
+ROUNDS, RATE, BATCH = 2, 0.2, 4096
 #: Frequent words whose counts every executor gets, at most (about 20 bytes each).
 HOT = 1 << 19
 AT_ONCE = 6 << 20
@@ -130,9 +130,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _level(w: np.ndarray, feats: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    z = w[feats[0]]
+    z = w.take(feats[0], 0)
     for f in feats[1:]:
-        z += w[f]
+        z += w.take(f, 0)
     z += bias
     return _softmax(z)
 
@@ -142,7 +142,8 @@ def _update(w: np.ndarray, acc: np.ndarray, feats: list[np.ndarray], g: np.ndarr
         order = np.argsort(f.astype(np.uint16), kind="stable")
         s = f[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        rows, sums = s[first], np.add.reduceat(g[order], first)
+        # pairs of floats added as complex numbers take half the steps
+        rows, sums = s[first], np.add.reduceat(g.view(np.complex64).take(order, 0), first).view(np.float32)
         acc[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
         w[rows] -= sums * (RATE / np.sqrt(acc[rows] + 1e-3))[:, None]
 
