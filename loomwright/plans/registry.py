@@ -1,4 +1,7 @@
 """All queries of the engine by name, and the SQL that they are compared with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import documents, retrieval
+
+MODULES = (retrieval, documents)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
