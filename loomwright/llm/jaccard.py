@@ -281,6 +281,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
     members = materialize(found.where("rep IS NOT NULL").select("bid", "rep", "key").where("bid IS NOT NULL OR key <> rep").distinct(), "members")
     forget(found)
+    spark._jvm.System.gc()
 
     # what may be similar by sizes and sketches goes on; of the other pairs, the least distance is kept
     pairs = members.where("key <> rep").select("key", "rep").distinct().join(sets, "key")
@@ -294,25 +295,43 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         # the one document that stands for a text: joined by its id too, as a text may have very many copies
         wanted = firsts.join(keys, "key").select("key", F.coalesce("first", F.lit(0)).alias("id"))
         texts = rows.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").join(wanted, ["key", "id"]).select("key", "text")
-        return materialize(_verified(pairs, texts).distinct(), tag)
+        out = materialize(_verified(pairs, texts).distinct(), tag)
+        forget(pairs)
+        return out
 
     star = check(pairs.where("9 * apart <= both").select("key", "rep"), "verified")
     linked = "100 * common >= 80 * `union`"
     links = star.where(linked).select(F.col("key").alias("u"), F.col("rep").alias("v"))
     groups = materialize(components(links), "components")
+    spark._jvm.System.gc()
+
+    # signatures of three sets or more that aren't in one component yet; ties to two other sets of theirs join most
+    done, many = star, members.where("bid IS NOT NULL")
+
+    def split_groups() -> DataFrame:
+        own = many.join(groups, F.col("key") == F.col("node"), "left").select("bid", "rep", "key", F.coalesce("component", "key").alias("c"))
+        split = own.groupBy("bid").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("bid")
+        return own.join(split, "bid")
+
+    for other in (F.max(F.struct("key", "c")), F.min(F.struct(F.xxhash64("key"), "key", "c"))):
+        own = split_groups()
+        hubs = own.groupBy("bid").agg(other.alias("o")).select("bid", F.col("o.key").alias("hub"), F.col("o.c").alias("hc"))
+        tied = own.join(hubs, "bid").where("c <> hc").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("rep")).distinct()
+        tied = tied.join(sets, "key").join(sets.select(*[F.col(c).alias("rep" if c == "key" else f"r{c}") for c in sets.columns]), "rep").where(f"9 * {far} <= n + rn").select("key", "rep")
+        more = check(tied.join(done.select("key", "rep"), ["key", "rep"], "left_anti"), "verified")
+        done = done.unionByName(more)
+        links = links.unionByName(more.where(linked).select(F.col("key").alias("u"), F.col("rep").alias("v")))
+        groups = materialize(components(links), "components")
 
-    # signatures of three sets or more that aren't in one component yet
-    own = members.where("bid IS NOT NULL").join(groups, F.col("key") == F.col("node"), "left").select("bid", "rep", "key", F.coalesce("component", "key").alias("c"))
-    split = own.groupBy("bid").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("bid")
     known = pairs.join(star, ["key", "rep"], "left").selectExpr("key", "rep", "coalesce(1.0D - common / union, lo) AS lo", "coalesce(1.0D - common / union, 1.0D) AS hi")
-    rest = own.join(split, "bid").join(known, ["key", "rep"], "left").join(sets, "key")
+    rest = split_groups().join(known, ["key", "rep"], "left").join(sets, "key")
     rest = rest.select("bid", "key", "rep", "c", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.col("hi")).alias("hi"), "n", *marks)
     rest = materialize(rest.where("key <> rep"), "split")
     x, y = rest.alias("x"), rest.alias("y")
     near = f"x.lo - y.hi <= 0.2 AND y.lo - x.hi <= 0.2 AND 9 * greatest({_apart('x.', 'y.')}, abs(x.n - y.n)) <= x.n + y.n"
     across = x.join(y, (F.col("x.bid") == F.col("y.bid")) & (F.col("x.c") < F.col("y.c")) & F.expr(near))
     across = across.select(F.greatest("x.key", "y.key").alias("key"), F.least("x.key", "y.key").alias("rep")).distinct()
-    across = across.join(star.select("key", "rep"), ["key", "rep"], "left_anti")
+    across = materialize(across, "across").join(done.select("key", "rep"), ["key", "rep"], "left_anti")
     more = check(across, "verified").where(linked)
     if more.limit(1).count():
         links = links.unionByName(more.select(F.col("key").alias("u"), F.col("rep").alias("v")))
