@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import flat, slices
+from .arrowtext import flat, release, slices
 from .common import fresh, table
 
 WINDOW, BLOCK = 13, 2
 #: Bits of the shift table's index, words of a lane, and bytes of text searched at once.
-BITS, LANE, AT_ONCE = 18, 512, 2 << 20
+BITS, LANE, AT_ONCE = 18, 512, 1 << 20
 #: Benchmark text that is held at once, in bytes; a larger benchmark is searched in several passes without a shuffle.
 BENCH_BYTES = 32 << 20
 
@@ -164,6 +164,7 @@ def _pass(held, at: int, text: int):
     """A pass that adds one part's hits, a string of 0 and 1 for each word, and items to the struct column at `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         searcher = Searcher(held.value)
         for batch in batches:
             texts, struct = batch.column(text), batch.column(at)

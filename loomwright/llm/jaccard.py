@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import slices
+from .arrowtext import release, slices
 from .common import forget, materialize, table
 from .components import components
 from .decontam import Words
@@ -36,7 +36,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Documents (about) whose shingles tell which are frequent, how often those occur in them, and how many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 2000, 4, 200_000
 #: Bytes of text worked on at once, buckets of signatures, signatures that a task holds before it passes them on.
-AT_ONCE, BUCKETS, HELD = 2 << 20, 1024, 1_000_000
+AT_ONCE, BUCKETS, HELD = 2 << 20, 1024, 500_000
 #: E as a share of all parts, in the schemes without frequent shingles.
 SLACK = (1 / 6, 1 / 3, 1 / 2)
 #: Documents known to be signed already that a task remembers.
@@ -125,6 +125,7 @@ def _sign(frequent):
     """Rows (bucket, data): signatures with keys in buckets 0 and up, sets' sizes and sketches in buckets below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         sigs, keys, sizes, held = [], [], [], 0
 
@@ -173,6 +174,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     bid names a group of three keys or more (null for two); equal groups are given once by a task.
     """
+    release()
     parts, sizes = [], []
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -225,6 +227,7 @@ def _apart(a: str, b: str) -> str:
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     last, own = None, None
     for batch in batches:
         key, rep, tx, tr = batch.columns

@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import flat, slices
+from .arrowtext import flat, release, slices
 from .common import local_path, new_path, table
 
 SEQUENCE, PER_BATCH = 2048, 256
 #: Pieces kept with their ids in each of a worker's two generations (about 180 bytes each), and the longest that is kept.
-CACHE, CACHED_BYTES = 250_000, 48
+CACHE, CACHED_BYTES = 200_000, 48
 #: Bytes of text that are encoded at once.
-AT_ONCE = 6 << 20
+AT_ONCE = 4 << 20
 #: A piece of at most one line feed, one word of Latin letters with at most one blank before it, and marks: byte-level
 #: pre-tokenisation splits it into just these parts.
 _SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]*)")
@@ -185,6 +185,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, sequence: in
         spec = _Held(spark, f.read())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         ctx, enc = TaskContext.get(), encoder(spec)
         path = f"{folder}/shard-{ctx.partitionId():07d}-{ctx.taskAttemptId()}"
         item = pa.from_numpy_dtype(enc.dtype)
