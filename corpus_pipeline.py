@@ -16,7 +16,10 @@ from loomwright.llm.tokens import token_files
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their host's frequent lines; n_chars follows the text."""
     out = quality(docs)
-    v = F.col(out.columns[-1])
+    name = out.columns[-1]
+    # the verdict is worked out once, not again for the filter that would be pushed below it
+    out = out.select(*[F.col(c) for c in docs.columns], F.explode(F.array(F.col(name))).alias(name))
+    v = F.col(name)
     text = v["text"]
     new = {"text": text, "n_chars": F.when(v["lines_removed"] > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))}
     return out.where(v["kept"]).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
