@@ -1,7 +1,7 @@
 """All queries of the engine by name, and the SQL that they are compared with."""
 
-from . import documents, retrieval, runs
+from . import documents, flows, retrieval, runs
 
-MODULES = (retrieval, documents, runs)
+MODULES = (retrieval, documents, runs, flows)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -1,8 +1,14 @@
+import json
+import time
+
 import pytest
 
+from loomwright.operators import extraction as X
+from loomwright.operators import flow as W
 from loomwright.operators import retrieval as R
 from loomwright.operators import runs as U
 from loomwright.operators import text as T
+from loomwright.streaming.fold import drain, fold_chunks
 
 POOL = [("a1", "A", 0.95), ("a2", "A", 0.90), ("a3", "A", 0.85), ("b1", "B", 0.80), ("a4", "A", 0.75), ("c1", "C", 0.70), ("b2", "B", 0.65), ("c2", "C", 0.60)]
 
@@ -43,3 +49,33 @@ def test_expressions_refuse_calls():
     for bad in ("f(x)", "x ** 2", "[1]", "x if y else z"):
         with pytest.raises(ValueError):
             U.compile_expression(bad, ["x", "y", "z"])
+
+
+def test_merge_and_validation(spark):
+    schema = {"name": "string", "tags": "array", "addr": {"city": "string", "zip": "integer"}, "n": "number"}
+    rows = [(1, 0, '{"name": "old", "tags": ["a"], "addr": {"city": "NYC", "zip": null}}'), (1, 1, '{"name": null, "tags": ["b", "c"], "addr": {"zip": "10001"}, "more": 1}'), (2, 0, None), (3, 0, "no JSON"), (4, 0, '{"tags": "x", "addr": 3, "n": "42.5"}')]
+    df = spark.createDataFrame(rows, "doc_id int, win int, data string")
+    got = {r["doc_id"]: r["fields"].asDict(recursive=True) for r in X.merge(df, schema).collect()}
+    assert got[1] == {"name": "old", "tags": ["a", "b", "c"], "addr": {"city": "NYC", "zip": 10001}, "n": None}
+    empty = {"name": None, "tags": [], "addr": {"city": None, "zip": None}, "n": None}
+    assert got[2] == got[3] == empty and got[4] == empty | {"n": 42.5}
+    kinds = {"b": "boolean", "i": "integer"}
+    values = [("true", 3), ("True", "4"), ("Yes", 5.7), (1, "5.7"), ("no", None), (False, "x"), (0, "")]
+    df = spark.createDataFrame([(json.dumps({"b": b, "i": i}),) for b, i in values], "data string")
+    assert [tuple(r["fields"]) for r in X.validate(df, kinds).collect()] == [(True, 3), (True, 4), (True, 5), (True, None), (False, None), (False, None), (False, None)]
+
+
+def test_templates_and_mappings(spark):
+    df = spark.sql("SELECT named_struct('output', named_struct('m', 'hi', 'ok', true), 'x', CAST(NULL AS INT)) AS a, '' AS p, 'original' AS q, '' AS r")
+    assert df.select(W.template(df, "<a.output.m> <a.output.ok> <a.x> <a.y> <b>")).first()[0] == "hi True None <a.y> <b>"
+    got = W.map_inputs(df, [("a.m", "p"), ("a.output.m", "p"), ("a.m", "q"), ("a.x", "r"), ("a.none", "r"), ("a.ok", "new")]).first()
+    assert (got["p"], got["q"], got["r"], got["new"]) == ("hi\nhi", "original", "", "true")
+
+
+def test_stream_over_batches(spark, tmp_path):
+    kind = "run_id bigint, seq bigint, content string, finish_reason string"
+    for k, rows in enumerate(([(1, 1, "he", None), (2, 1, "x", None)], [(1, 3, "lo", "stop"), (1, 2, "l", None), (3, 1, None, "stop")])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1 * (k == 0))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert sorted(map(tuple, drain(fold_chunks(stream), "test").collect())) == [(1, 3, "hello", "stop"), (3, 1, "", "stop")]
