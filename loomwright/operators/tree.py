@@ -94,3 +94,17 @@ def islands(flags: DataFrame, gap: int = 3) -> DataFrame:
     d = flags.where("flag").withColumn("new", F.coalesce(F.col("page") - F.lag("page").over(w) > gap, F.lit(True)).cast("int"))
     d = d.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy("doc_id", "island").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count(F.lit(1)).alias("n"))
+
+
+def code_parents(items: DataFrame) -> DataFrame:
+    """items (doc_id, ord, structure) with parent_ord: the latest item before whose code is one part shorter; null for roots."""
+    parent = F.when(F.col("structure").contains("."), F.regexp_replace("structure", r"\.[^.]*$", ""))
+    above = items.groupBy("doc_id", "structure").agg(F.array_sort(F.collect_set("ord")).alias("_at")).select("doc_id", F.col("structure").alias("_up"), "_at")
+    d = items.withColumn("_up", parent).join(above, ["doc_id", "_up"], "left")
+    return d.select(*items.columns, F.array_max(F.filter("_at", lambda x: x < F.col("ord"))).alias("parent_ord"))
+
+
+def with_preface(items: DataFrame) -> DataFrame:
+    """items (doc_id, ord, structure, title, physical_index) and, where the first starts after page 1, a preface before it."""
+    first = items.groupBy("doc_id").agg(F.min_by("physical_index", "ord").alias("p"), F.min("ord").alias("ord")).where("p > 1")
+    return items.unionByName(first.select("doc_id", (F.col("ord") - 1).cast(items.schema["ord"].dataType).alias("ord"), F.lit("0").alias("structure"), F.lit("Preface").alias("title"), F.lit(1).cast(items.schema["physical_index"].dataType).alias("physical_index")))
