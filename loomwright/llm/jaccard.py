@@ -309,25 +309,31 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     spark._jvm.System.gc()
 
     # signatures of three sets or more that aren't in one component yet; ties to two other sets of theirs join most
-    done, many = star, members.where("bid IS NOT NULL")
-
-    def split_groups() -> DataFrame:
-        own = many.join(groups, F.col("key") == F.col("node"), "left").select("bid", "rep", "key", F.coalesce("component", "key").alias("c"))
-        split = own.groupBy("bid").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("bid")
-        return own.join(split, "bid")
-
-    for other in (F.max(F.struct("key", "c")), F.min(F.struct(F.xxhash64("key"), "key", "c"))):
-        own = split_groups()
-        hubs = own.groupBy("bid").agg(other.alias("o")).select("bid", F.col("o.key").alias("hub"), F.col("o.c").alias("hc"))
-        tied = own.join(hubs, "bid").where("c <> hc").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("rep")).distinct()
-        tied = tied.join(sets, "key").join(sets.select(*[F.col(c).alias("rep" if c == "key" else f"r{c}") for c in sets.columns]), "rep").where(f"9 * {far} <= n + rn").select("key", "rep")
-        more = check(tied.join(done.select("key", "rep"), ["key", "rep"], "left_anti"), "verified")
-        done = done.unionByName(more)
-        links = links.unionByName(more.where(linked).select(F.col("key").alias("u"), F.col("rep").alias("v")))
-        groups = materialize(components(links), "components")
+    many = members.where("bid IS NOT NULL")
+
+    def in_components() -> DataFrame:
+        return many.join(groups, F.col("key") == F.col("node"), "left").select("bid", "rep", "key", F.coalesce("component", "key").alias("c"))
+
+    def joined(more: DataFrame) -> DataFrame:
+        """The components, once `more` links are added to them."""
+        new = more.where(linked).select(F.col("key").alias("u"), F.col("rep").alias("v"))
+        if not new.limit(1).count():
+            return groups
+        return materialize(components(groups.selectExpr("node AS u", "component AS v").unionByName(new)), "components")
+
+    own, split = in_components(), F.min("c") != F.max("c")
+    others = [F.max("key"), F.min(F.struct(F.xxhash64("key"), "key"))["key"]]
+    hubs = own.groupBy("bid").agg(split.alias("split"), F.array_distinct(F.array(*others)).alias("hubs")).where("split").select("bid", F.explode("hubs").alias("hub"))
+    hubs = hubs.join(groups, F.col("hub") == F.col("node"), "left").select("bid", "hub", F.coalesce("component", "hub").alias("hc"))
+    tied = own.join(hubs, "bid").where("c <> hc").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("rep")).distinct()
+    tied = tied.join(sets, "key").join(sets.select(*[F.col(c).alias("rep" if c == "key" else f"r{c}") for c in sets.columns]), "rep").where(f"9 * {far} <= n + rn").select("key", "rep")
+    more = check(tied.join(star.select("key", "rep"), ["key", "rep"], "left_anti"), "verified")
+    done = star.unionByName(more)
+    groups = joined(more)
 
     known = pairs.join(star, ["key", "rep"], "left").selectExpr("key", "rep", "coalesce(1.0D - common / union, lo) AS lo", "coalesce(1.0D - common / union, 1.0D) AS hi")
-    rest = split_groups().join(known, ["key", "rep"], "left").join(sets, "key")
+    own = in_components()
+    rest = own.join(own.groupBy("bid").agg(split.alias("split")).where("split").select("bid"), "bid").join(known, ["key", "rep"], "left").join(sets, "key")
     rest = rest.select("bid", "key", "rep", "c", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.col("hi")).alias("hi"), "n", *marks)
     rest = materialize(rest.where("key <> rep"), "split")
     x, y = rest.alias("x"), rest.alias("y")
@@ -335,10 +341,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     across = x.join(y, (F.col("x.bid") == F.col("y.bid")) & (F.col("x.c") < F.col("y.c")) & F.expr(near))
     across = across.select(F.greatest("x.key", "y.key").alias("key"), F.least("x.key", "y.key").alias("rep")).distinct()
     across = materialize(across, "across").join(done.select("key", "rep"), ["key", "rep"], "left_anti")
-    more = check(across, "verified").where(linked)
-    if more.limit(1).count():
-        links = links.unionByName(more.select(F.col("key").alias("u"), F.col("rep").alias("v")))
-        groups = materialize(components(links), "components")
+    groups = joined(check(across, "verified"))
 
     named = firsts.join(groups, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
