@@ -1,7 +1,7 @@
 """All queries of the engine by name, and the SQL that they are compared with."""
 
-from . import documents, flows, retrieval, runs, toc
+from . import documents, flows, ingest, retrieval, runs, toc
 
-MODULES = (retrieval, documents, runs, flows, toc)
+MODULES = (retrieval, documents, ingest, runs, flows, toc)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
