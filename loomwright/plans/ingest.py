@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import control as C
 from ..sources import files as S
 from ..sources.html import extract_html
 from .retrieval import t
@@ -46,6 +47,21 @@ def annotations(s, d):
     return t(s, d, "part").select("p_partkey", S.with_annotations(md, notes).alias("markdown"))
 
 
+def sse(s, d):
+    body = F.concat(F.lit(": hi\nevent: m\r\ndata: "), "p_brand", F.lit("\r\ndata:  "), "p_type", F.lit("\r\n\r\n\ndata:\n\nid: 3\n\ndata:end"))
+    return t(s, d, "part").select("p_partkey", F.posexplode(C.sse_payloads(body)).alias("pos", "payload"))
+
+
+def urls(s, d):
+    ip = lambda f: F.concat_ws(".", *[(F.col("p_partkey") * k % 256).cast("string") for k in f])
+    url = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("https://u:p@"), ip((1, 7, 11, 13)), F.lit(":80/x"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("http://172."), ip((5, 3, 1)), F.lit("?q=://a"))).otherwise(F.concat(F.lit("ftp://x/"), F.col("p_partkey").cast("string")))
+    return t(s, d, "part").select("p_partkey", url.alias("url")).withColumn("problem", C.url_problem(F.col("url")))
+
+
+def thresholds(s, d):
+    return t(s, d, "part").select("p_partkey", C.context_threshold(F.col("p_partkey") * 997 + 4000, F.col("p_size") * 900).alias("threshold"))
+
+
 _D = """WITH d AS (SELECT l_orderkey AS uri, l_linenumber AS ord, ['page_text', 'text', 'html', 'image', 'markdown'][((l_orderkey + l_linenumber) % 5 + 1)::INT] AS type,
 min(l_returnflag) || ' ' || min(l_partkey) AS content, min(l_partkey) AS pages FROM lineitem GROUP BY ALL)
 """
@@ -60,6 +76,9 @@ QUERIES = {
     "src_page_batches": page_batches,
     "src_batch_merge": batch_merge,
     "src_image_annotations": annotations,
+    "snk_sse_payloads": sse,
+    "agt_url_check": urls,
+    "agt_context_threshold": thresholds,
 }
 ORACLES = {
     "src_mime_guess": f"SELECT doc_id, name, ['text/html', 'text/markdown', 'application/pdf', 'application/octet-stream', 'text/csv', 'application/json'][(k + 1)::INT] AS mime_type FROM ({_NAMES})",
@@ -70,4 +89,11 @@ ORACLES = {
     "src_page_batches": "SELECT p_partkey AS uri, b AS batch, b * 15 + 1 AS first_page, least(b * 15 + 15, p_size)::BIGINT AS last_page FROM (SELECT p_partkey, p_size, unnest(range(0, ((p_size - 1) // 15)::BIGINT + 1)) AS b FROM part WHERE p_size > 0)",
     "src_batch_merge": _D + "SELECT *, length(markdown)::BIGINT AS char_count FROM (SELECT uri, string_agg(content, E'\\n\\n' ORDER BY ord) AS markdown, sum(pages)::BIGINT AS pages_processed, count(*) AS batch_count FROM d GROUP BY uri)",
     "src_image_annotations": """SELECT p_partkey, E'![a.1]\\n**' || p_brand || E'** ![b]\\n**$1 ' || p_type || E'** ![b]\\n**$1 ' || p_type || '** ![c](c)' AS markdown FROM part""",
+    "snk_sse_payloads": "SELECT p_partkey, unnest([0, 1, 2])::INT AS pos, unnest([p_brand || E'\\n ' || p_type, '', 'end']) AS payload FROM part",
+    "agt_url_check": """SELECT p_partkey, url, CASE WHEN k = 2 THEN 'scheme' WHEN a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) THEN 'internal' END AS problem FROM (
+SELECT p_partkey, p_partkey % 3 AS k, CASE WHEN p_partkey % 3 = 1 THEN 172 ELSE p_partkey % 256 END AS a, CASE WHEN p_partkey % 3 = 1 THEN p_partkey * 5 % 256 ELSE p_partkey * 7 % 256 END AS b,
+CASE p_partkey % 3 WHEN 0 THEN 'https://u:p@' || concat_ws('.', p_partkey % 256, p_partkey * 7 % 256, p_partkey * 11 % 256, p_partkey * 13 % 256) || ':80/x'
+WHEN 1 THEN 'http://172.' || concat_ws('.', p_partkey * 5 % 256, p_partkey * 3 % 256, p_partkey % 256) || '?q=://a' ELSE 'ftp://x/' || p_partkey END AS url FROM part)""",
+    "agt_context_threshold": """SELECT p_partkey, (w - least(greatest(r, 8000), w - b - trunc(w * 0.25::DOUBLE)::BIGINT) - b)::BIGINT AS threshold FROM (SELECT *, least(greatest(13000, trunc(w * 0.08::DOUBLE)::BIGINT), trunc(w * 0.25::DOUBLE)::BIGINT) AS b
+FROM (SELECT p_partkey, p_partkey * 997 + 4000 AS w, p_size * 900 AS r FROM part))""",
 }
