@@ -3,9 +3,9 @@
 Normalised lines are hashed, and distinct documents are counted for each host (the source) and line. Lines above the
 host's limit are removed; documents that lose most of their words, or keep too few, are rejected.
 
-Documents count as distinct by their longest word (the greatest of equal lengths): exact and near copies of one text
-agree in it and count once, so that a much copied document isn't taken for boilerplate; removing copies is another
-operator's work. Unrelated texts hardly ever share their longest word.
+Documents count as distinct by a 64-bit hash of the whole text, in the counts of lines and of a host's documents alike:
+exact copies count once, so that a much copied document isn't taken for boilerplate. Near copies are documents of their
+own, and lines that more of them have than the limit are removed.
 """
 
 from __future__ import annotations
@@ -53,12 +53,12 @@ def base_stats(text: str) -> str:
 
 def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """(host, line): hosts and line hashes above the limits, from all documents."""
-    longest = f"array_max(transform({_WORDS.format(t='t')}, w -> named_struct('n', length(w), 'w', w))).w"
-    rows = docs.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    totals = rows.groupBy("host").agg(F.greatest(F.lit(float(LIMIT_DOCS)), LIMIT_SHARE * F.count(F.lit(1))).alias("most")).withColumnRenamed("host", "h")
+    rows = docs.select(F.col(f"`{host}`").alias("host"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).withColumn("print", F.xxhash64("t"))
+    texts = rows.groupBy("host", "print").agg(F.count(F.lit(1)).alias("_"))
+    totals = texts.groupBy("host").agg(F.greatest(F.lit(float(LIMIT_DOCS)), LIMIT_SHARE * F.count(F.lit(1))).alias("most")).withColumnRenamed("host", "h")
     keys = f"array_distinct(transform({_LINES.format(t='t')}, l -> {_KEY.format(l='l')}))"
-    rows = rows.select("host", F.expr(f"xxhash64({longest})").alias("like"), "t").select("host", "like", F.explode(F.expr(keys)).alias("line"))  # `like` once a document
-    counts = rows.groupBy("host", "line", "like").agg(F.count(F.lit(1)).alias("_")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("host", "print", F.explode(F.expr(keys)).alias("line"))
+    counts = rows.groupBy("host", "line", "print").agg(F.count(F.lit(1)).alias("_")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") > LIMIT_DOCS)  # most pairs end here
     return counts.join(totals, F.col("host").eqNullSafe(F.col("h")) & (F.col("n") > F.col("most"))).select("host", "line")
 

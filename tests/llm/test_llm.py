@@ -148,6 +148,17 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
     assert quality.quality(clash).count() == len(ODD) and mixing.mix(clash).columns == clash.columns
 
 
+def test_frequent_lines_count_distinct_texts(spark):
+    """A line that holds the longest word of every document counts as often as documents have it; exact copies once."""
+    footer = "see https://example.org/a-long-legal-notice-that-is-longer-than-all-other-words"
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)) + "\n" + footer, "h") for i in range(11)]
+    rows += [(100 + i, " ".join(f"c{k}" for k in range(30)) + "\nmuch copied", "h") for i in range(40)]
+    rows += [(200 + i, " ".join(f"v{i}x{k}" for k in range(30)) + "\nten only", "h") for i in range(10)]
+    got = {r["doc_id"]: r["verdict"] for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {i: v["lines_removed"] for i, v in got.items()} == {i: int(i < 11) for i, _, _ in rows}
+    assert all(v["text"] == t.removesuffix("\n" + footer) and v["kept"] for i, t, _ in rows for v in [got[i]])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
