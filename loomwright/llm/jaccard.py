@@ -266,11 +266,12 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """(key, n_shingles, component_id) for each distinct text of docs (doc_id, text); key is xxhash64 of the text.
+    """(key, n_shingles, component_id, group) for each distinct text of docs (doc_id, text); key is xxhash64 of the text.
 
     Texts are linked when 100 * intersection >= 80 * union of their shingle sets. component_id is the smallest doc_id
     that links reach, the text's own included; a null doc_id is smaller than none: it is null only where all are. A null
     text has no shingles and is linked with nothing, so its rows have components of their own; so do wordless texts.
+    group is the smallest key of the component: components that share their component_id differ in it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
@@ -345,7 +346,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
     named = firsts.join(groups, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    return named.join(least, "c").join(sizes, "key").select("key", F.col("n").alias("n_shingles"), "component_id")
+    return named.join(least, "c").join(sizes, "key").select("key", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("group"))
 
 
 def with_groups(docs: DataFrame) -> DataFrame:
@@ -360,15 +361,16 @@ def with_groups(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id; texts without words all stay.
 
-    Rows that agree in doc_id and text count as one document and one of them stays.
+    Of rows with that doc_id, the one with the smallest text key stays, so rows that agree in doc_id and text count as one
+    document. Unlinked texts stay, however many rows share their doc_id or have none.
     """
-    g = jaccard_groups(docs).where("n_shingles > 0").select("key", "component_id")
-    keep = g.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("_id"))
+    g = jaccard_groups(docs).where("n_shingles > 0").select(F.col("key").alias("_k"), F.col("component_id").alias("_id"), F.col("group").alias("_c"))
     names = docs.columns
     d = docs.withColumn("_key", F.xxhash64("text"))
     bare = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    worded = d.where(~bare).join(keep, F.col("doc_id").eqNullSafe(F.col("_id"))).join(g.select(F.col("key").alias("_key"), F.col("component_id").alias("_c")), "_key")
-    worded = worded.where(F.col("_c").eqNullSafe(F.col("doc_id"))).dropDuplicates(["doc_id", "_c"])
+    # by id and text at once: neither a text with very many copies nor an id of very many rows lands in one task
+    worded = d.where(~bare).join(g, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    worded = worded.groupBy("_c").agg(F.min_by(F.struct(*names), "_key").alias("_row")).select("_row.*")
     return worded.select(names).unionByName(d.where(bare).select(names))
 
 

@@ -107,6 +107,18 @@ def test_jaccard_against_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """Unlinked texts stay, whatever ids they share; of linked ones with the smallest id, one stays."""
+    text = lambda g, more="": " ".join(f"w{g}_{k}" for k in range(40)) + more
+    rows = [(None, text(g)) for g in range(5)] + [(None, text(0))] + [(7, text(g)) for g in range(5, 9)] + [(7, text(5)), (9, text(6)), (None, text(7))]
+    rows += [(11, text(20)), (11, text(20, " end")), (12, text(20, " stop")), (None, " "), (None, None), (7, ""), (7, "")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    twins = [x for x in got if x[0] == 11]
+    assert len(twins) == 1 and twins[0] in rows
+    want = [(None, text(g)) for g in range(5)] + [(7, text(g)) for g in range(5, 9)] + [(None, " "), (None, None), (7, ""), (7, "")]
+    assert collections.Counter(x for x in got if x[0] != 11) == collections.Counter(want)
+
+
 def test_signature_bands_cover_similar_sizes():
     rng = np.random.default_rng(5)
     for n in (1, 3, 4, 7, 20, 90, 400, 1500):
