@@ -19,13 +19,23 @@ def questions(spark, sf):
     return t(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), first.alias("query"))
 
 
+def whole_questions(spark, sf):
+    """The search set: benchmark rows whose id is divisible by 50, with their whole texts."""
+    return t(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+
+
+def whole_vectors(spark, sf):
+    q = t(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    return q, vectors(spark, sf)[1]
+
+
 def vectors(spark, sf):
     e = t(spark, sf, "embeddings")
     return e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec")), e.select(F.col("vec_id").alias("item_id"), "embedding", "label", F.concat(F.lit("s"), F.col("label").cast("string")).alias("source_id"))
 
 
-def _vector(k=5, least=0.0, wanted=None):
-    return lambda s, d: R.threshold(R.vector_search(*vectors(s, d), k, wanted), least)
+def _vector(k=5, least=0.0, wanted=None, sides=vectors):
+    return lambda s, d: R.threshold(R.vector_search(*sides(s, d), k, wanted), least)
 
 
 #: Chunk vectors for the hybrid leg: how often the ten vowels and consonants below stand in the text.
@@ -36,14 +46,14 @@ def _letters(c):
     return F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
 
 
-def hybrid(s, d):
-    q = questions(s, d).withColumn("q_vec", _letters(F.col("query")))
+def hybrid(s, d, asked=questions):
+    q = asked(s, d).withColumn("q_vec", _letters(F.col("query")))
     return R.hybrid_search(q, chunks(s, d).withColumn("embedding", _letters(F.col("text"))), 5)
 
 
-def limited(k, least, most):
+def limited(k, least, most, sides=vectors):
     def run(s, d):
-        q, e = vectors(s, d)
+        q, e = sides(s, d)
         pool = R.vector_search(q, e, 50).join(e.select("item_id", "source_id"), "item_id").withColumn("ord", F.col("item_id"))
         return R.source_limits(pool, k, least, most).select("query_id", "item_id", "score", "source_id", "rank")
     return run
@@ -57,14 +67,30 @@ def fused(weights):
     return run
 
 
+def whole_fused(weights):
+    """Vector and full-text searches over the documents, fused."""
+    def run(s, d):
+        q, c = whole_questions(s, d), chunks(s, d)
+        a = R.vector_search(q.withColumn("q_vec", _letters(F.col("query"))), c.withColumn("embedding", _letters(F.col("text"))), 10)
+        return R.rank_fusion([a, R.full_text_search(q, c, 10)], weights, 8)
+    return run
+
+
+def whole_tsvector(s, d):
+    """Every term of a text with all its positions, as to_tsvector writes them."""
+    terms = F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("'"), x, F.lit("':"), F.array_join(F.transform("w", lambda y, i: F.when(y == x, (i + 1).cast("string"))), ",")))
+    m = t(s, d, "benchmark").select("item_id", tokens(F.col("text")).alias("w")).select("item_id", R.parse_tsvector(F.array_join(terms, " ")).alias("m"))
+    return m.select("item_id", F.explode("m").alias("term", "tf"))
+
+
 def tsvector(s, d):
     v = F.concat_ws(" ", F.transform(F.slice(tokens(F.col("text")), 1, 8), lambda w: F.concat(F.lit("'"), w, F.lit("':1,"), F.length(w).cast("string"))))
     m = t(s, d, "benchmark").select("item_id", R.parse_tsvector(v).alias("m"))
     return m.select("item_id", F.explode("m").alias("term", "tf"))
 
 
-def reranked(s, d):
-    q, c = questions(s, d), chunks(s, d)
+def reranked(s, d, asked=questions):
+    q, c = asked(s, d), chunks(s, d)
     return R.rerank(R.full_text_search(q, c, 20).join(q, "query_id").join(c, "item_id"), 5)
 
 
@@ -122,3 +148,27 @@ a AS ({_top('v', 10)}), b AS ({_top('bm', 10)}), legs AS (SELECT query_id, item_
     "ret_limits_cap": _limits(10, None, 2), "ret_limits_floor": _limits(12, 1, None), "ret_limits_both": _limits(10, 1, 3),
     "ret_node_ids_parse": "WITH e AS (SELECT event_id, lpad(event_id::VARCHAR, 4, '0') AS p FROM events WHERE event_id < 10000), l AS (SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN ['d1:' || p, 'd2:0007'] WHEN p = '0012' THEN ['0012'] ELSE ['0012', p] END) AS node_id, unnest(CASE WHEN event_id % 2 = 0 OR p <> '0012' THEN [0, 1] ELSE [0] END)::BIGINT AS pos FROM e) SELECT * FROM l",
 }
+
+
+def _whole(sql):
+    """SQL of the whole search set from that of the first ids and words."""
+    for a, b in (("vec_id < 5", "vec_id % 50 = 0"), ("item_id < 5", "item_id % 50 = 0"), (f"array_to_string({_TOK.format('text')}[1:6], ' ')", "coalesce(text, '')"), ("[1:6]", "")):
+        sql = sql.replace(a, b)
+    return sql
+
+
+def _whole_fused(w):
+    sql = ORACLES["ret_hybrid_search"].replace("0.5::DOUBLE / (59 + rank) AS part", f"{w[0]}::DOUBLE / (59 + rank) AS part")
+    return _whole(sql.replace("rank, 1, 0.5::DOUBLE", f"rank, 1, {w[1]}::DOUBLE").replace("rank <= 5", "rank <= 8"))
+
+
+#: The queries above for every row whose id is divisible by 50 and for whole texts.
+WHOLE = {
+    "ret_vector_topk": _vector(sides=whole_vectors), "ret_vector_threshold": _vector(20, 0.3, sides=whole_vectors), "ret_vector_filtered": _vector(5, 0.0, {"label": 3}, whole_vectors),
+    "ret_bm25_terms": lambda s, d: R.bm25(whole_questions(s, d), chunks(s, d)), "ret_bm25_topk": lambda s, d: R.full_text_search(whole_questions(s, d), chunks(s, d), 10),
+    "ret_rrf_fuse": whole_fused(None), "ret_rrf_weighted": whole_fused([0.7, 0.3]), "ret_hybrid_search": lambda s, d: hybrid(s, d, whole_questions),
+    "ret_limits_cap": limited(10, None, 2, whole_vectors), "ret_limits_floor": limited(12, 1, None, whole_vectors), "ret_limits_both": limited(10, 1, 3, whole_vectors),
+    "ret_rerank": lambda s, d: reranked(s, d, whole_questions),
+}
+ORACLES |= {f"{k}_whole": _whole(ORACLES[k]) for k in WHOLE if k in ORACLES and "rrf" not in k} | {"ret_rrf_fuse_whole": _whole_fused((1, 1)), "ret_rrf_weighted_whole": _whole_fused((0.7, 0.3))}
+QUERIES |= {f"{k}_whole": q for k, q in WHOLE.items()}

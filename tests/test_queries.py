@@ -1,6 +1,6 @@
 import pytest
 
-from loomwright.plans import registry
+from loomwright.plans import registry, retrieval
 
 from .compare import SF, same
 
@@ -13,3 +13,12 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(f"{k}_whole" for k in retrieval.WHOLE))
+def test_whole_search_set(spark, name):
+    """Every row whose id is divisible by 50 is a query; the ten of embeddings, and one of benchmark, on sf0.001."""
+    table, key = ("embeddings", "vec_id") if "vector" in name or "limits" in name else ("benchmark", "item_id")
+    want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").where(f"{key} % 50 = 0").select(key).collect()}
+    got = {r[0] for r in registry.QUERIES[name](spark, SF).select("query_id").distinct().collect()}
+    assert got == want
