@@ -38,6 +38,14 @@ def ranges(s, d):
     return E.range_text(r, lines).select("doc_id", F.md5("text").alias("h"))
 
 
+def whole_ranges(s, d):
+    """Ranges of three pages each that together cover the document."""
+    lines = docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    first = F.posexplode(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1, F.lit(3)))
+    r = docs(s, d).where("text IS NOT NULL").select("doc_id", first.alias("ord", "a")).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "a", (F.col("a") + 2).alias("b"))
+    return E.range_text(r, lines).select("doc_id", "ord", F.md5("text").alias("h"))
+
+
 _MARK = "(SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN repeat('#', ((i - 1) & 3) + 1) || ' ' || x ELSE x END) AS lines FROM documents)"
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _HEAD = f"""m AS {_MARK}, l0 AS (SELECT doc_id, unnest(lines) AS line0, unnest(range(1, len(lines) + 1)) AS line_num FROM m),
@@ -69,6 +77,7 @@ QUERIES = {
     "tre_subtree_tokens": subtree,
     "tre_page_ranges": lambda s, d: E.page_ranges(items(s, d), "last"),
     "tre_range_text": ranges,
+    "tre_range_text_whole": whole_ranges,
     "tre_page_offset_mode": lambda s, d: E.page_offset(items(s, d).select("doc_id", F.col("ord").alias("pos"), F.col("ord").alias("page"), F.col("physical_index").alias("physical"))),
     "tre_title_match": lambda s, d: E.title_pairs(t(s, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_brand").alias("title"), F.col("p_partkey").alias("page")), t(s, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_brand").alias("title"), (F.col("p_partkey") + 3).alias("physical")), 50),
     "tre_asof_bounds": lambda s, d: E.known_bounds(items(s, d).select("doc_id", "ord", F.when(F.col("physical_index") % 3 == 0, F.col("physical_index")).alias("known")), "known"),
@@ -102,6 +111,7 @@ SELECT group_id, item_id, batch FROM r""",
 e AS (SELECT a.doc_id, a.line_num, a.level, coalesce((SELECT min(b.line_num) FROM k b WHERE b.doc_id = a.doc_id AND b.line_num > a.line_num AND b.level <= a.level), 1000000000) AS stop FROM k a)
 SELECT e.doc_id, e.line_num, e.level, sum(k.n)::BIGINT AS total FROM e JOIN k ON k.doc_id = e.doc_id AND k.line_num >= e.line_num AND k.line_num < e.stop GROUP BY ALL""",
     "tre_page_ranges": f"SELECT *, coalesce(lead(physical_index) OVER w - CASE WHEN lead(appear_start) OVER w = 'yes' THEN 1 ELSE 0 END, last)::BIGINT AS end_index FROM ({_ITEMS}) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)",
+    "tre_range_text_whole": "SELECT doc_id, k AS ord, md5(array_to_string(lines[3 * k + 1:3 * k + 3], '')) AS h FROM (SELECT doc_id, lines, unnest(range(0, (len(lines) + 2) // 3)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))",
     "tre_range_text": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[2:4], '')) AS h FROM documents WHERE len(string_split(text, chr(10))) > 1",
     "tre_page_offset_mode": f"SELECT doc_id, arg_max(diff, c * 1000 - f)::BIGINT AS \"offset\" FROM (SELECT doc_id, physical_index - ord AS diff, count(*) AS c, min(ord) AS f FROM ({_ITEMS}) GROUP BY ALL) GROUP BY doc_id",
     "tre_title_match": "SELECT a.p_size AS doc_id, a.p_brand AS title, a.p_partkey AS page, b.p_partkey + 3 AS physical FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand WHERE b.p_partkey + 3 >= 50",

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import pytest
 
 from loomwright.plans import registry, retrieval
@@ -22,3 +25,15 @@ def test_whole_search_set(spark, name):
     want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").where(f"{key} % 50 = 0").select(key).collect()}
     got = {r[0] for r in registry.QUERIES[name](spark, SF).select("query_id").distinct().collect()}
     assert got == want
+
+
+def test_whole_texts_are_read(spark):
+    """Terms behind the eighth, terms with several positions, and the last page of each document."""
+    words = {r["item_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {(r["item_id"], r["term"]): r["tf"] for r in registry.QUERIES["ret_tsvector_whole"](spark, SF).collect()}
+    assert got == {(i, w): ws.count(w) for i, ws in words.items() for w in ws}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").collect():
+        lines = r["text"].split("\n")
+        want |= {(r["doc_id"], k // 3): hashlib.md5("".join(lines[k : k + 3]).encode()).hexdigest() for k in range(0, len(lines), 3)}
+    assert {(r["doc_id"], r["ord"]): r["h"] for r in registry.QUERIES["tre_range_text_whole"](spark, SF).collect()} == want
