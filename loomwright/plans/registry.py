@@ -3,5 +3,17 @@
 from . import documents, flows, ingest, retrieval, runs, toc
 
 MODULES = (retrieval, documents, ingest, runs, flows, toc)
-QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
-ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+
+
+def merged(dicts) -> dict:
+    """One dict of all; a name that two of them have is an error."""
+    out: dict = {}
+    for d in dicts:
+        if twice := out.keys() & d.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= d
+    return out
+
+
+QUERIES: dict = merged(m.QUERIES for m in MODULES)
+ORACLES: dict = merged(m.ORACLES for m in MODULES)

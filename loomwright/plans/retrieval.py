@@ -96,7 +96,7 @@ def reranked(s, d, asked=questions):
 
 def parsed_ids(s, d):
     x = F.concat(F.lit("pick d1:"), F.lpad(F.col("event_id").cast("string"), 4, "0"), F.lit(" then d2:0007, d1:"), F.lpad(F.col("event_id").cast("string"), 4, "0"))
-    return t(s, d, "events").where("event_id < 10000").select("event_id", F.posexplode(R.node_ids(F.when(F.col("event_id") % 2 == 0, x).otherwise(F.concat(F.lit("see 0012 and "), F.lpad(F.col("event_id").cast("string"), 4, "0")))))).select("event_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("node_id"))
+    return t(s, d, "events").select("event_id", F.posexplode(R.node_ids(F.when(F.col("event_id") % 2 == 0, x).otherwise(F.concat(F.lit("see 0012 and "), F.lpad(F.col("event_id").cast("string"), 4, "0")))))).select("event_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("node_id"))
 
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
@@ -135,7 +135,7 @@ QUERIES = {
     "ret_bm25_terms": lambda s, d: R.bm25(questions(s, d), chunks(s, d)), "ret_bm25_topk": lambda s, d: R.full_text_search(questions(s, d), chunks(s, d), 10),
     "ret_tsvector_parse": tsvector, "ret_rrf_fuse": fused(None), "ret_rrf_weighted": fused([0.7, 0.3]), "ret_hybrid_search": hybrid,
     "ret_limits_cap": limited(10, None, 2), "ret_limits_floor": limited(12, 1, None), "ret_limits_both": limited(10, 1, 3),
-    "ret_rerank": reranked, "ret_node_ids_parse": parsed_ids,
+    "ret_rerank": reranked, "ret_node_ids_order": parsed_ids,
 }
 ORACLES = {
     "ret_vector_topk": _top(_PAIRS, 5), "ret_vector_threshold": f"SELECT * FROM ({_top(_PAIRS, 20)}) WHERE score >= 0.3", "ret_vector_filtered": _top(_PAIRS, 5, "WHERE label = 3"),
@@ -146,7 +146,7 @@ ORACLES = {
 v AS (SELECT query_id, doc_id AS item_id, CASE WHEN list_sum({_LET.format('text')}) > 0 THEN round(list_cosine_similarity({_LET.format('query')}, {_LET.format('text')}), 6) END AS score FROM qq, documents),
 a AS ({_top('v', 10)}), b AS ({_top('bm', 10)}), legs AS (SELECT query_id, item_id, rank, 0 AS list, 0.5::DOUBLE / (59 + rank) AS part FROM a UNION ALL SELECT query_id, item_id, rank, 1, 0.5::DOUBLE / (59 + rank) FROM b), {_FUSE} SELECT * FROM g WHERE rank <= 5""",
     "ret_limits_cap": _limits(10, None, 2), "ret_limits_floor": _limits(12, 1, None), "ret_limits_both": _limits(10, 1, 3),
-    "ret_node_ids_parse": "WITH e AS (SELECT event_id, lpad(event_id::VARCHAR, 4, '0') AS p FROM events WHERE event_id < 10000), l AS (SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN ['d1:' || p, 'd2:0007'] WHEN p = '0012' THEN ['0012'] ELSE ['0012', p] END) AS node_id, unnest(CASE WHEN event_id % 2 = 0 OR p <> '0012' THEN [0, 1] ELSE [0] END)::BIGINT AS pos FROM e) SELECT * FROM l",
+    "ret_node_ids_order": "WITH e AS (SELECT event_id, lpad(event_id::VARCHAR, 4, '0') AS p FROM events), l AS (SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN ['d1:' || p, 'd2:0007'] WHEN p = '0012' THEN ['0012'] ELSE ['0012', p] END) AS node_id, unnest(CASE WHEN event_id % 2 = 0 OR p <> '0012' THEN [0, 1] ELSE [0] END)::BIGINT AS pos FROM e) SELECT * FROM l",
 }
 
 

@@ -37,3 +37,12 @@ def test_whole_texts_are_read(spark):
         lines = r["text"].split("\n")
         want |= {(r["doc_id"], k // 3): hashlib.md5("".join(lines[k : k + 3]).encode()).hexdigest() for k in range(0, len(lines), 3)}
     assert {(r["doc_id"], r["ord"]): r["h"] for r in registry.QUERIES["tre_range_text_whole"](spark, SF).collect()} == want
+
+
+def test_names_are_registered_once(spark):
+    assert len(registry.QUERIES) == sum(len(m.QUERIES) for m in registry.MODULES)
+    assert len(registry.ORACLES) == sum(len(m.ORACLES) for m in registry.MODULES)
+    with pytest.raises(ValueError):
+        registry.merged([{"a": 1}, {"a": 2}])
+    got = {r[0] for r in registry.QUERIES["ret_node_ids_order"](spark, "/root/testdata/sf0.1").select("event_id").distinct().collect()}
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.1/events.parquet").count() == 100_000
