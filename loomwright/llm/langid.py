@@ -27,8 +27,6 @@ SAMPLE = 800
 REJECT = 0.005
 #: Bytes of text worked on at once.
 AT_ONCE = 1 << 20
-#: Languages that are learned at most, the most frequent ones.
-LANGUAGES = 1000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LETTERS: list[np.ndarray] = []
 
@@ -116,7 +114,7 @@ class Model:
 def fit(train: DataFrame) -> Model:
     """The model from training rows (doc_id, text, lang); rows without text or lang are left out."""
     train = train.where("text IS NOT NULL AND lang IS NOT NULL")
-    langs = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    langs = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
 
     def df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0

@@ -147,6 +147,14 @@ def test_language_and_toxicity_accuracy(spark):
     assert np.mean([tox[i] == bool(y) for i, y in labels.items()]) > 0.9
 
 
+def test_all_languages_are_learned(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)), f"l{i:04}") for i in range(1010)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_odd_rows_and_empty_tables(spark, odd, none):
     for f in (lambda d: quality.quality(d), lambda d: mixing.mix_plan(d), lambda d: sharding.shard_slots(d), jaccard.with_groups, secrets.secret_spans):
         assert f(odd).count() == len(ODD) and f(none).count() == 0
