@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +18,11 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a local session, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -43,6 +47,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been written to tables: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local_path(uri: str) -> str | None:
     """The plain path behind a file: URI, None for other stores."""
     parts = urlparse(uri)

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from .common import forget, materialize
 
 
+#: The neighbours of a node are dealt into so many shares, so that a node with very many isn't one task's work.
+SHARES = 64
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (u, v) with each node's neighbours tied to its smallest neighbour: the greater ones, or the smaller ones."""
     both = links.unionByName(links.selectExpr("v AS u", "u AS v")) if large else links
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = both.join(least, "u")
+    both = both.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SHARES)))
+    shares = both.groupBy("u", "share").agg(F.min("v").alias("m"))
+    least = shares.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"))
+    tied = both.join(shares.select("u", "share").join(least, "u"), ["u", "share"])
     if large:
         return tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.selectExpr("u", "m AS v"))

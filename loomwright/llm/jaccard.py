@@ -1,26 +1,32 @@
 """N-gram Jaccard self-join (operator 9) with PartEnum signatures.
 
 Sets in size bands: with U the greatest size of a band, two sets with a Jaccard similarity of 0.8 or more, one of them in
-the band and the other no smaller, differ in U / 4 shingles at most. The feature domain is partitioned by hash into
-n = U / 4 + 1 + E parts, and each part that a set meets gives one signature (the subsets enumerated have one part), so
-similar sets share E + 1 parts at least. Parts that are empty in both would be no evidence; a set with E empty parts or
-fewer has a shared part that isn't empty. A set with more of them also gives the signatures of the next scheme, which
-has a greater E. All these leave out frequent shingles, which can't make sets differ more; the last scheme has all
-shingles, and empty parts count in it. A set enters its own band and, where a smaller partner could be in the band
-below, that band too.
-
-Sets with a common signature are tied to one of them and verified on their texts; where a signature's sets don't all end
-up in one component, the pairs across components are verified too, unless the triangle inequality of the Jaccard
-distance rules them out. So no link between components is lost, and no group is expanded into all its pairs. Before
-texts are fetched, a sketch of 512 parities of each set rules pairs out: each parity that differs takes a shingle that
-only one of the sets has.
-
-Shingles and signatures are 64-bit hashes; equal texts are one set from the start.
+the band and the other no smaller, differ in k = U / 4 shingles at most. The feature domain is partitioned by hash into
+n1 = k / (k2 + 1) + 1 + E parts, of which E + 1 at least differ in k2 shingles or fewer, and each part into n2 smaller
+ones. Every subset of n2 - k2 smaller parts of a part that a set meets gives one signature, so similar sets share one in
+E + 1 parts at least. Subsets that are empty in both would be no evidence; a part counts for a set if more than k2 of its
+smaller parts aren't empty, and a set with E or fewer parts that don't count has a signature in common with each partner.
+A set with more of them also gives the signatures of the next scheme, which has a greater E. All these leave out frequent
+shingles, which can't make sets differ more; the last scheme has all shingles, and empty subsets count in it. A set enters
+its own band and, where a smaller partner could be in the band below, that band too.
+
+Sets with a common signature are tied to one of them and verified on their texts. Where a signature's sets don't all end
+up in one component, a set is only looked at further if it could be linked with another component: at least 0.8 of its
+shingles stand in other components too. That is counted over all such sets, again and again as sets drop out. What is
+left is tied to two more sets of its signature, and in the end pairs across components are verified too, unless these
+counts, a sketch of 512 parities of what a set shares with other components (each parity that differs takes a shingle
+that only one of the sets has), or the triangle inequality of the Jaccard distance rule them out. So no link between components is lost, and
+hardly a pair is joined that isn't a link.
+
+Shingles and signatures are 64-bit hashes; equal texts are one set from the start, by a 64-bit hash of the text. Two of
+10^9 different texts have the same hash with a probability of 3 %; they would then count as copies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import release, slices
-from .common import forget, materialize, table
+from .common import forget, fresh, materialize, release_shuffles, table
 from .components import components
 from .decontam import Words
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Documents (about) whose shingles tell which are frequent, how often those occur in them, and how many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 2000, 4, 200_000
-#: Bytes of text worked on at once, buckets of signatures, signatures that a task holds before it passes them on.
-AT_ONCE, BUCKETS, HELD = 2 << 20, 1024, 500_000
+#: Smaller parts of a part (n2), and how many of them may differ (k2).
+SUBPARTS, MISSES = 3, 1
+#: Bytes of text worked on at once, signatures that a task holds before it passes them on.
+AT_ONCE, HELD = 2 << 20, 500_000
+#: Buckets of signatures at least, and bytes of text for each; bytes of text for each task that matches them; sets of a bucket.
+BUCKETS, BUCKET_BYTES, TASK_BYTES, BUCKET_SETS = 1024, 16 << 20, 64 << 20, 1 << 16
+#: Keys (8 bytes each) that are broadcast at most; more of them are joined by shuffles.
+BROADCAST_KEYS = 1 << 18
 #: E as a share of all parts, in the schemes without frequent shingles.
 SLACK = (1 / 6, 1 / 3, 1 / 2)
 #: Documents known to be signed already that a task remembers.
@@ -83,8 +95,8 @@ def _bands(most: int) -> list[int]:
 _EDGES = np.array(_bands(1 << 40))
 
 
-def signatures(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a set of shingle hashes; frequent: sorted hashes that the first scheme leaves out."""
+def signatures(x: np.ndarray, frequent: np.ndarray, subparts: int = SUBPARTS, misses: int = MISSES) -> np.ndarray:
+    """The signatures of a set of shingle hashes; frequent: sorted hashes that only the last scheme has."""
     out = []
     own = int(np.searchsorted(_EDGES, len(x)))
     # the band below, if its greatest size could be a partner's
@@ -95,33 +107,44 @@ def signatures(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         rare = x[frequent[np.minimum(at, len(frequent) - 1)] != x]
     for level in levels:
         k = int(_EDGES[level]) // 4
+        k2 = min(misses, k)
+        n2 = subparts if k2 else 1
+        subsets = _subsets(n2, k2)
         for scheme, share in enumerate((*SLACK, SLACK[0])):
             last = scheme == len(SLACK)
-            slack = int(k * share / (1 - share))
-            n = k + 1 + slack
+            need = k // (k2 + 1) + 1
+            slack = int((need - 1) * share / (1 - share))
+            n = need + slack
             y = mixed(x if last else rare, scheme)
-            part = (y >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            p, v = part[order], (y * _C[14] ^ (y >> _S29) * _C[15])[order]
-            first = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(v, first) if len(first) else v[:0]
+            cell = ((y >> np.uint64(32)) * np.uint64(n * n2) >> np.uint64(32)).astype(np.int64)
             tag = np.uint64((level * 8 + scheme) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-            out.append(mixed(sums + (p[first] + np.uint64(1)) * _C[13] + tag, 6))
-            if n - len(first) <= slack:
+            sums = np.zeros(n * n2, np.uint64)
+            np.add.at(sums, cell, y * _C[14] ^ (y >> _S29) * _C[15])
+            full = (np.bincount(cell, minlength=n * n2) > 0).reshape(n, n2)
+            sums = mixed(sums + np.arange(1, n * n2 + 1, dtype=np.uint64) * _C[13] + tag, 6).reshape(n, n2)
+            few = int((full.sum(1) <= k2).sum())
+            for number, subset in enumerate(subsets):
+                sig = (sums @ subset.astype(np.uint64)) + np.uint64(number)
+                any_full = full @ subset
+                out.append(sig[any_full] if not last or few <= slack else sig)
+            if few <= slack:
                 break
-            if last:  # so few shingles for the parts: empty parts count
-                none = np.setdiff1d(np.arange(n, dtype=np.uint64), p[first])
-                out.append(mixed((none + np.uint64(1)) * _C[13] + tag, 6))
     return np.concatenate(out) if out else x[:0]
 
 
+@functools.cache
+def _subsets(n2: int, k2: int) -> tuple[np.ndarray, ...]:
+    """All subsets of n2 - k2 of n2 parts, as masks."""
+    return tuple(np.isin(np.arange(n2), c) for c in itertools.combinations(range(n2), n2 - k2))
+
+
 def sketch(x: np.ndarray) -> np.ndarray:
     """512 parities of a set's shingles by hash, as 8 numbers."""
     odd = np.bincount((mixed(x, 5) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sign(frequent):
+def _sign(frequent, buckets: int, set_buckets: int):
     """Rows (bucket, data): signatures with keys in buckets 0 and up, sets' sizes and sketches in buckets below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,18 +155,20 @@ def _sign(frequent):
         def flush() -> pa.RecordBatch:
             rows = np.empty(held, _ROW)
             rows["sig"], rows["key"] = np.concatenate([*sigs, np.zeros(0, np.uint64)]), np.concatenate([*keys, np.zeros(0, np.int64)])
-            bucket = (rows["sig"] >> np.uint64(40)).astype(np.int64) % BUCKETS
-            order = np.argsort(bucket.astype(np.uint16), kind="stable")
+            bucket = (rows["sig"] >> np.uint64(24)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if held else np.zeros(0, np.int64)
             names = bucket[cuts].tolist()
             data = [r.tobytes() for r in np.split(rows, cuts[1:])] if held else []
             own = np.array(sizes, _SET)
-            for i in range(16):
-                if len(part := own[own["key"] % 16 == i]):
-                    names.append(-1 - i)
-                    data.append(part.tobytes())
-            return pa.record_batch({"bucket": pa.array(names, pa.int32()), "data": pa.array(data, pa.binary())})
+            place = own["key"] % set_buckets
+            order = np.argsort(place, kind="stable")
+            own, place = own[order], place[order]
+            cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(own) else np.zeros(0, np.int64)
+            names += (-1 - place[cuts]).tolist()
+            data += [r.tobytes() for r in np.split(own, cuts[1:])] if len(own) else []
+            return pa.record_batch({"bucket": pa.array(names, pa.int64()), "data": pa.array(data, pa.binary())})
 
         for batch in batches:
             texts, all_keys = batch.column("text"), batch.column("key").to_pylist()
@@ -172,34 +197,44 @@ def _sign(frequent):
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, n, s0 to s7) of sets, and (key, rep, bid): keys of sets with a common signature.
 
-    bid names a group of three keys or more (null for two); equal groups are given once by a task.
+    The rows come sorted by bucket, and one bucket is worked on at a time. bid names a group of three keys or more (null
+    for two); equal groups of a bucket are given once.
     """
     release()
-    parts, sizes = [], []
+    now, parts = None, []
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            (parts if bucket >= 0 else sizes).append(np.frombuffer(data.as_buffer(), _ROW if bucket >= 0 else _SET))
-    if sizes:
-        rows = np.concatenate(sizes)
+            if bucket != now and parts:
+                yield from _bucket(now, parts)
+                parts = []
+            now = bucket
+            parts.append(np.frombuffer(data.as_buffer(), _ROW if bucket >= 0 else _SET))
+    if parts:
+        yield from _bucket(now, parts)
+
+
+def _bucket(bucket: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    rows = np.concatenate(parts)
+    parts.clear()
+    if bucket < 0:
         rows = rows[np.unique(rows["key"], return_index=True)[1]]
         yield _rows(rows["key"], n=rows["n"], sketch=rows["sketch"])
-    if not parts:
         return
-    rows = np.concatenate(parts)
-    parts.clear()
     order = np.argsort(rows["sig"], kind="stable")
     sig = rows["sig"][order]
     same = sig[1:] == sig[:-1]
     shared = np.append(False, same) | np.append(same, False)
     sig, key = sig[shared], rows["key"][order][shared]
     del rows, order, same
+    if not len(sig):
+        return
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
-    once = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])) if len(sig) else np.zeros(0, bool)
+    once = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))
     sig, key = sig[once], key[once]
-    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     count = np.diff(np.append(first, len(sig)))
-    bid = np.add.reduceat(mixed(key.astype(np.uint64), 3), first) if len(first) else sig
+    bid = np.add.reduceat(mixed(key.astype(np.uint64), 3), first)
     _, pick = np.unique(bid, return_index=True)
     pick = pick[count[pick] > 1]
     n = count[pick]
@@ -221,9 +256,14 @@ def _rows(key, n=None, rep=None, bid=None, two=None, sketch=None) -> pa.RecordBa
     return pa.record_batch(cols, names=_NAMES)
 
 
-def _apart(a: str, b: str) -> str:
+def _apart(a: str, b: str, s: str = "s") -> str:
     """SQL for a lower bound of the number of shingles that only one of two sets has, by their sketches."""
-    return "(" + " + ".join(f"bit_count({a}s{i} ^ {b}s{i})" for i in range(8)) + ")"
+    return "(" + " + ".join(f"bit_count({a}{s}{i} ^ {b}{s}{i})" for i in range(8)) + ")"
+
+
+def _apart_common(a: str, b: str) -> str:
+    """The same from what _open() gives: shingles that no other component has are certain to differ."""
+    return f"({a}n - {a}v + {b}n - {b}v + greatest({_apart(a, b, 'k')}, abs({a}v - {b}v)))"
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +290,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "key").join(b, "rep").select("key", "rep", "tx", "tr").mapInArrow(_similarity, "key bigint, rep bigint, common bigint, `union` bigint")
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many documents of a sample have; they bear on speed alone."""
-    n = docs.count()
+def _frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of shingles that many of a sample of n documents have; they bear on speed alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,6 +304,41 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(rows["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, key) for each shingle of each text of (key, text)."""
+    for batch in batches:
+        for a, b in slices(batch.column(1), AT_ONCE):
+            sets = shingle_sets(batch.column(1).slice(a, b - a))
+            keys = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(x) for x in sets])
+            yield pa.record_batch({"s": pa.array(np.concatenate(sets).view(np.int64)), "key": pa.array(keys, pa.int64())})
+
+
+def _open(some: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, c, n, v, k0 to k7) of those of some (key, c, n) that could be linked with one of another component c.
+
+    v counts a set's shingles that stand in other components too; k0 to k7 are a sketch of these alone. A set with
+    v < 0.8 n has no link to any other component and drops out, and its shingles with it, until few more do.
+    """
+    bits = [F.bit_xor(F.when(F.shiftright(F.col("s"), 6).bitwiseAND(F.lit(7)) == i, F.expr("shiftleft(1L, CAST(s & 63L AS INT))")).otherwise(F.lit(0).cast("bigint"))).alias(f"k{i}") for i in range(8)]
+    now = materialize(some, "open")
+    found = materialize(texts(now.select("key")).mapInArrow(_shingles, "s bigint, key bigint").join(now.select("key", "c"), "key"), "shingles")
+    left = now.count()
+    while True:
+        common = materialize(found.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s"), "common")
+        kept = materialize(found.join(common, "s"), "shingles")
+        counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("v"), *bits)
+        new = materialize(now.select("key", "c", "n").join(counts, "key").where("5 * v >= 4 * n"), "open")
+        before, left = left, new.count()
+        for old in (now, found, common):
+            forget(old)
+        now, found = new, kept
+        if not left or left > 0.9 * before:
+            forget(found)
+            return now
+        found = materialize(found.join(now.select("key"), "key", "left_semi"), "shingles")
+        forget(kept)
+
+
 def jaccard_groups(docs: DataFrame) -> DataFrame:
     """(key, n_shingles, component_id, group) for each distinct text of docs (doc_id, text); key is xxhash64 of the text.
 
@@ -275,17 +349,20 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
-    held = spark.sparkContext.broadcast(_frequent(rows))
-    signed = rows.select("key", "text").mapInArrow(_sign(held), "bucket int, data binary")
-    found = materialize(signed.repartition("bucket").mapInArrow(_match, ", ".join(f"{x} bigint" for x in _NAMES)), "matches")
-    spark._jvm.System.gc()  # lets Spark delete the signatures' shuffle files
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    held = spark.sparkContext.broadcast(_frequent(rows, n))
+    signed = rows.select("key", "text").mapInArrow(_sign(held, max(BUCKETS, size // BUCKET_BYTES), max(64, n // BUCKET_SETS)), "bucket bigint, data binary")
+    tasks = size // TASK_BYTES
+    dealt = signed.repartition(tasks, "bucket") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else signed.repartition("bucket")
+    found = materialize(dealt.sortWithinPartitions("bucket").mapInArrow(_match, ", ".join(f"{x} bigint" for x in _NAMES)), "matches")
+    release_shuffles(spark)
     marks = [f"s{i}" for i in range(8)]
-    sets = materialize(found.where("n IS NOT NULL").select("key", "n", *marks).dropDuplicates(["key"]), "sets")
+    sets = materialize(found.where("n IS NOT NULL").select("key", "n", *marks), "sets")
     sizes = sets.select("key", "n")
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
     members = materialize(found.where("rep IS NOT NULL").select("bid", "rep", "key").where("bid IS NOT NULL OR key <> rep").distinct(), "members")
     forget(found)
-    spark._jvm.System.gc()
+    release_shuffles(spark)
 
     # what may be similar by sizes and sketches goes on; of the other pairs, the least distance is kept
     pairs = members.where("key <> rep").select("key", "rep").distinct().join(sets, "key")
@@ -293,27 +370,37 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     far = f"greatest({_apart('', 'r')}, abs(n - rn))"
     pairs = materialize(pairs.selectExpr("key", "rep", f"{far} AS apart", f"2.0D * {far} / (n + rn + {far}) AS lo", "n + rn AS both"), "pairs")
 
+    def texts(keys: DataFrame) -> DataFrame:
+        """(key, text), one row for each of the keys, which are distinct."""
+        few = keys.count() <= BROADCAST_KEYS
+        # the one document that stands for a text: joined by its id too, as a text may have very many copies
+        wanted = firsts.join(F.broadcast(keys) if few else keys, "key").select("key", F.coalesce("first", F.lit(0)).alias("id"))
+        own = rows.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
+        return own.join(F.broadcast(wanted) if few else wanted, ["key", "id"]).select("key", "text").dropDuplicates(["key"])
+
     def check(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        keys = pairs.select("key").unionByName(pairs.select(F.col("rep").alias("key"))).distinct()
-        # the one document that stands for a text: joined by its id too, as a text may have very many copies
-        wanted = firsts.join(keys, "key").select("key", F.coalesce("first", F.lit(0)).alias("id"))
-        texts = rows.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").join(wanted, ["key", "id"]).select("key", "text")
-        out = materialize(_verified(pairs, texts).distinct(), tag)
+        keys = materialize(pairs.select("key").unionByName(pairs.select(F.col("rep").alias("key"))).distinct(), "keys")
+        out = materialize(_verified(pairs, texts(keys)), tag)
         forget(pairs)
+        forget(keys)
         return out
 
     star = check(pairs.where("9 * apart <= both").select("key", "rep"), "verified")
     linked = "100 * common >= 80 * `union`"
     links = star.where(linked).select(F.col("key").alias("u"), F.col("rep").alias("v"))
     groups = materialize(components(links), "components")
-    spark._jvm.System.gc()
+    release_shuffles(spark)
 
-    # signatures of three sets or more that aren't in one component yet; ties to two other sets of theirs join most
+    # signatures of three sets or more that aren't in one component yet
     many = members.where("bid IS NOT NULL")
+    split = F.min("c") != F.max("c")
+
+    def in_split(own: DataFrame) -> DataFrame:
+        return own.join(own.groupBy("bid").agg(split.alias("split")).where("split").select("bid"), "bid")
 
-    def in_components() -> DataFrame:
-        return many.join(groups, F.col("key") == F.col("node"), "left").select("bid", "rep", "key", F.coalesce("component", "key").alias("c"))
+    def component(keys: DataFrame) -> DataFrame:
+        return keys.join(groups, F.col("key") == F.col("node"), "left").withColumn("c", F.coalesce("component", "key")).drop("node", "component")
 
     def joined(more: DataFrame) -> DataFrame:
         """The components, once `more` links are added to them."""
@@ -322,27 +409,33 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
             return groups
         return materialize(components(groups.selectExpr("node AS u", "component AS v").unionByName(new)), "components")
 
-    own, split = in_components(), F.min("c") != F.max("c")
-    others = [F.max("key"), F.min(F.struct(F.xxhash64("key"), "key"))["key"]]
-    hubs = own.groupBy("bid").agg(split.alias("split"), F.array_distinct(F.array(*others)).alias("hubs")).where("split").select("bid", F.explode("hubs").alias("hub"))
-    hubs = hubs.join(groups, F.col("hub") == F.col("node"), "left").select("bid", "hub", F.coalesce("component", "hub").alias("hc"))
-    tied = own.join(hubs, "bid").where("c <> hc").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("rep")).distinct()
-    tied = tied.join(sets, "key").join(sets.select(*[F.col(c).alias("rep" if c == "key" else f"r{c}") for c in sets.columns]), "rep").where(f"9 * {far} <= n + rn").select("key", "rep")
-    more = check(tied.join(star.select("key", "rep"), ["key", "rep"], "left_anti"), "verified")
-    done = star.unionByName(more)
-    groups = joined(more)
-
-    known = pairs.join(star, ["key", "rep"], "left").selectExpr("key", "rep", "coalesce(1.0D - common / union, lo) AS lo", "coalesce(1.0D - common / union, 1.0D) AS hi")
-    own = in_components()
-    rest = own.join(own.groupBy("bid").agg(split.alias("split")).where("split").select("bid"), "bid").join(known, ["key", "rep"], "left").join(sets, "key")
-    rest = rest.select("bid", "key", "rep", "c", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.col("hi")).alias("hi"), "n", *marks)
-    rest = materialize(rest.where("key <> rep"), "split")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = f"x.lo - y.hi <= 0.2 AND y.lo - x.hi <= 0.2 AND 9 * greatest({_apart('x.', 'y.')}, abs(x.n - y.n)) <= x.n + y.n"
-    across = x.join(y, (F.col("x.bid") == F.col("y.bid")) & (F.col("x.c") < F.col("y.c")) & F.expr(near))
-    across = across.select(F.greatest("x.key", "y.key").alias("key"), F.least("x.key", "y.key").alias("rep")).distinct()
-    across = materialize(across, "across").join(done.select("key", "rep"), ["key", "rep"], "left_anti")
-    groups = joined(check(across, "verified"))
+    some = in_split(component(many)).select("key", "c").distinct().join(sizes, "key")
+    live = _open(some.select("key", "c", "n"), texts)
+    done = star
+    if live.limit(1).count():
+        # ties to two other sets of each such signature join most of what is linked
+        own = in_split(many.join(live, "key"))
+        others = [F.max("key"), F.min(F.struct(F.xxhash64("key"), "key"))["key"]]
+        hubs = own.groupBy("bid").agg(F.array_distinct(F.array(*others)).alias("hubs")).select("bid", F.explode("hubs").alias("hub"))
+        hubs = hubs.join(live.select(*[F.col(x).alias("hub" if x == "key" else f"h{x}") for x in live.columns]), "hub")
+        tied = own.join(hubs, "bid").where(f"c <> hc AND 9 * {_apart_common('', 'h')} <= n + hn").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("rep")).distinct()
+        more = check(tied.join(star.select("key", "rep"), ["key", "rep"], "left_anti"), "verified")
+        done = star.unionByName(more)
+        groups = joined(more)
+        release_shuffles(spark)
+
+        some = in_split(component(many.join(live.select("key", "n"), "key"))).select("key", "c", "n").distinct()
+        live = _open(some, texts)
+        known = pairs.join(star, ["key", "rep"], "left").selectExpr("key", "rep", "coalesce(1.0D - common / union, lo) AS lo", "coalesce(1.0D - common / union, 1.0D) AS hi")
+        rest = in_split(many.join(live, "key")).join(known, ["key", "rep"], "left")
+        rest = rest.select("bid", *live.columns, F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.coalesce("lo", F.lit(0.0))).alias("lo"), F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi"))
+        rest = materialize(rest, "split")
+        x, y = rest.alias("x"), rest.alias("y")
+        near = f"9 * {_apart_common('x.', 'y.')} <= x.n + y.n AND x.lo - y.hi <= 0.2 AND y.lo - x.hi <= 0.2"
+        across = x.join(y, (F.col("x.bid") == F.col("y.bid")) & (F.col("x.c") < F.col("y.c")) & F.expr(near))
+        across = across.select(F.greatest("x.key", "y.key").alias("key"), F.least("x.key", "y.key").alias("rep")).distinct()
+        across = materialize(across, "across").join(done.select("key", "rep"), ["key", "rep"], "left_anti")
+        groups = joined(check(across, "verified"))
 
     named = firsts.join(groups, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
@@ -362,16 +455,18 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id; texts without words all stay.
 
     Of rows with that doc_id, the one with the smallest text key stays, so rows that agree in doc_id and text count as one
-    document. Unlinked texts stay, however many rows share their doc_id or have none.
+    document. Unlinked texts stay, however many rows share their doc_id or have none. Other columns pass through,
+    whatever their names.
     """
-    g = jaccard_groups(docs).where("n_shingles > 0").select(F.col("key").alias("_k"), F.col("component_id").alias("_id"), F.col("group").alias("_c"))
     names = docs.columns
-    d = docs.withColumn("_key", F.xxhash64("text"))
+    t, k, i, c, r = (fresh(docs, x) for x in ("_key", "_k", "_id", "_c", "_row"))
+    g = jaccard_groups(docs.select("doc_id", "text")).where("n_shingles > 0").select(F.col("key").alias(k), F.col("component_id").alias(i), F.col("group").alias(c))
+    d = docs.withColumn(t, F.xxhash64(F.col("text").cast("string")))
     bare = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     # by id and text at once: neither a text with very many copies nor an id of very many rows lands in one task
-    worded = d.where(~bare).join(g, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    worded = worded.groupBy("_c").agg(F.min_by(F.struct(*names), "_key").alias("_row")).select("_row.*")
-    return worded.select(names).unionByName(d.where(bare).select(names))
+    worded = d.where(~bare).join(g, (F.col(t) == F.col(k)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(i)))
+    worded = worded.groupBy(c).agg(F.min_by(F.struct(*[F.col(f"`{x}`") for x in names]), t).alias(r)).select(f"{r}.*")
+    return worded.select(*[F.col(f"`{x}`") for x in names]).unionByName(d.where(bare).select(*[F.col(f"`{x}`") for x in names]))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
