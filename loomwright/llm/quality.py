@@ -19,8 +19,8 @@ from .common import BLANKS, fresh, materialize, table
 LIMIT_DOCS, LIMIT_SHARE = 10, 0.01
 #: A document is depleted with fewer words than this left, or a smaller share of its words.
 LEFT_WORDS, LEFT_SHARE = 20, 0.3
-#: Up to so many frequent lines (8 bytes each) go to all executors at once; more of them are joined by shuffles.
-BROADCAST_LINES = 200_000
+#: Up to so many frequent lines (8 bytes each), and so many of a host, go to all executors at once; more are joined by shuffles.
+BROADCAST_LINES, HOST_LINES = 200_000, 2_000
 
 _SPLIT = BLANKS.replace("\\", "\\\\")
 _WORDS = f"filter(split({{t}}, '{_SPLIT}'), w -> w != '')"
@@ -63,17 +63,19 @@ def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text") ->
     return counts.join(totals, F.col("host").eqNullSafe(F.col("h")) & (F.col("n") > F.col("most"))).select("host", "line")
 
 
-def quality(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", text: str = "text", broadcast_lines: int = BROADCAST_LINES, host_lines: int = HOST_LINES) -> DataFrame:
     """docs with struct columns `stats` (see base_stats) and `verdict`: lines_removed, words_left, base_failed, kept, text.
 
     verdict.text is the text without the removed lines. A null text has no words and fails; a null host is a host of its
     own; rows that agree stay as many as they are; empty tables give empty results. The names of the new columns get
-    underscores in front where docs has them already.
+    underscores in front where docs has them already. Results are the same whether the frequent lines are broadcast, as
+    they are up to broadcast_lines in all and host_lines of one host, or joined by host and line.
     """
     spark = docs.sparkSession
     lines = materialize(frequent_lines(docs, host, text), "frequent-lines")
     h, b, s, v = fresh(docs, "_host"), fresh(docs, "_bad"), fresh(docs, "stats"), fresh(docs, "verdict")
-    if lines.count() <= BROADCAST_LINES:
+    total, most = lines.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total <= broadcast_lines and most <= host_lines:
         bad = lines.groupBy(F.col("host").alias(h)).agg(F.collect_list("line").alias(b))
         out = docs.join(F.broadcast(bad), F.col(f"`{host}`").eqNullSafe(F.col(h)), "left")
     else:
@@ -109,9 +111,8 @@ ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT id, source, unnest(string_split(t, chr(10))) AS line FROM d),
 m AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-likes AS (SELECT id, arg_max(u, {'n': length(u), 'u': u}) AS "like" FROM (SELECT id, unnest(w) AS u FROM d) GROUP BY id),
-hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-bad AS (SELECT c.source, c.key FROM (SELECT source, key, count(DISTINCT "like") AS n FROM m JOIN likes USING (id) GROUP BY source, key) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 10 AND c.n > 0.01 * h.n),
+hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+bad AS (SELECT c.source, c.key FROM (SELECT source, key, count(DISTINCT t) AS n FROM (SELECT m.source, key, d.t FROM m JOIN d USING (id)) GROUP BY source, key) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 10 AND c.n > 0.01 * h.n),
 gone AS (SELECT id, sum(m.n) AS n FROM m JOIN bad ON m.source IS NOT DISTINCT FROM bad.source AND m.key = bad.key GROUP BY id),
 dup AS (SELECT id, (count(*) - count(DISTINCT line)) AS n FROM m GROUP BY id),
 win AS (SELECT id, i, array_to_string(w[i:i+7], ' ') AS x FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
