@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table, words
+from .common import materialize, table, words
 
 #: Rows of a bucket, about; a bucket's rows are summed up in one task.
 BUCKET_ROWS = 4096
@@ -50,7 +50,7 @@ def _queue(rows: DataFrame, n: int, seed: str) -> DataFrame:
     ones = ones.withColumn("key", key).withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * F.lit(buckets), 32))
     sums = ones.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     base = sums.select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), (F.sum("s").over(Window.partitionBy("source").orderBy("bucket")) - F.col("s")).alias("base"))
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "bucket").orderBy("key", "size", "print").rowsBetween(Window.unboundedPreceding, 0)
     out = ones.withColumn("off", F.sum("size").over(inner)).join(base, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("bkt")))
     return out.select(*same, "copy", "key", (F.col("base") + F.col("off")).alias("cum"))
 
@@ -87,21 +87,29 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """The mixed corpus: the columns of docs, each row as often as the mix takes it (0 to `most` times).
 
-    Needs the columns doc_id, source and text; others, whatever their names, pass through unchanged.
+    Needs the columns doc_id, source and text; others, whatever their names, pass through unchanged. Rows that agree in
+    doc_id, source and text are numbered, by the file part they are read from and within it, and each is taken as often as
+    the plan's copy of that number; so rows that differ in other columns alone all count. Null and blank texts are never
+    taken, null sources form one source, and an empty table gives an empty result.
     """
-    plan = mix_plan(docs, weights, share, most, seed)
+    d, row = "_row", "_at"  # docs' own names are inside the struct
     same = ["doc_id", "source", "size", "print"]
-    votes = plan.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.sum("times").cast("int").alias("c"))
-    d, v = fresh(docs, "_d"), fresh(docs, "_v")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(d)).withColumns(
-        {"_k0": F.col(d)["doc_id"], "_k1": F.col(d)["source"], "_k2": F.size(words(F.col(d)["text"])).cast("bigint"), "_k3": F.xxhash64(F.col(d)["text"])}
-    )
-    votes = votes.select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(same)], F.struct("n", "c").alias(v))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(d), F.monotonically_increasing_id().alias(row))
+    held = materialize(held, "mix-rows")  # the numbers stay as they are
+    mine = {"doc_id": F.col(d)["doc_id"], "source": F.col(d)["source"], "size": F.size(words(F.col(d)["text"])).cast("bigint"), "print": F.xxhash64(F.col(d)["text"])}
+    keyed = held.select(*[v.alias(f"_k{i}") for i, v in enumerate(mine.values())], F.shiftright(row, 33).alias("_part"), F.col(row).alias("_at"))
+    keys = [f"_k{i}" for i in range(4)]
+    plan = mix_plan(docs.select("doc_id", "source", "text"), weights, share, most, seed)
+    plan = plan.where("times > 0").select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(same)], F.col("copy").alias("_copy"), F.col("times").alias("_times"))
+    # numbers within a part, and how many came in the parts before: no key's rows meet in one task
+    parts = keyed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = parts.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_part").alias("_bp"), (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).alias("_base"))
+    numbered = keyed.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_at")))
+    on = [F.col(f"_k{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(4)]
+    numbered = numbered.join(before, on[0] & on[1] & on[2] & on[3] & (F.col("_part") == F.col("_bp"))).select(*keys, "_at", (F.col("_base") + F.col("_i") - 1).alias("_number"))
     on = [F.col(f"_k{i}").eqNullSafe(F.col(f"_v{i}")) for i in range(4)]
-    joined = held.join(votes, on[0] & on[1] & on[2] & on[3]).where(F.col(v)["c"] > 0)
-    ones = joined.where(F.col(v)["n"] == 1).select(d, F.col(v)["c"].alias("c"))
-    many = joined.where(F.col(v)["n"] > 1).groupBy("_k0", "_k1", "_k2", "_k3").agg(F.first(d).alias(d), F.first(F.col(v)["c"]).alias("c")).select(d, "c")
-    return ones.unionByName(many).select(d, F.explode(F.expr("sequence(1, c)")).alias("_i")).select(f"{d}.*")
+    taken = numbered.join(plan, on[0] & on[1] & on[2] & on[3] & (F.col("_number") == F.col("_copy"))).select("_at", "_times")
+    return held.join(taken, row).select(d, F.explode(F.expr("sequence(1, _times)")).alias("_again")).select(f"{d}.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
