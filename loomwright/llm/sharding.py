@@ -68,8 +68,9 @@ def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     slot numbers the rows of a shard from 0 without gaps. Rows of a shard are dealt into blocks by a second hash of the
-    key; a block's rows are numbered in one task, and the blocks' totals, a few for each 16384 rows, shift them. Rows
-    that agree in all columns are counted before the shuffle, so that a key with a third of all rows is one row here.
+    key; within a block, rows are numbered by id, size and checksum, in two levels, and the blocks' totals, a few for each
+    16384 rows, shift them. Rows that agree in all three are counted before the shuffle and numbered afterwards; rows of
+    one id are split by size.
     Null texts have size 1 and checksum 0; null keys count as key 0; an empty table gives an empty result.
     """
     blocks = max(1, -(-docs.count() // (BLOCK_ROWS * shards)))
@@ -80,12 +81,18 @@ def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
         .withColumn("h", jump("doc_id", shards))
         .select("doc_id", "size", "text_crc32", "n", F.col("h.shard").alias("shard"), F.col("h.grown").alias("grown_shard"), F.shiftright(F.col("h.mix") * F.lit(blocks), 31).alias("block"))
     )
-    totals = rows.groupBy("shard", "block").agg(F.sum("n").alias("t"))
-    before = totals.selectExpr("shard", "block", "sum(t) OVER (PARTITION BY shard ORDER BY block) - t AS base")
-    placed = rows.selectExpr("*", "sum(n) OVER (PARTITION BY shard, block ORDER BY doc_id NULLS FIRST, size, text_crc32) - n AS off").join(before, ["shard", "block"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.expr("sequence(base + off, base + off + n - 1)")).alias("slot"), "grown_shard"
-    )
+    # blocks, then ids and sizes within a block, then rows of one id and size: an id with very many rows is split by size
+    group, order = ["shard", "block", "doc_id", "size"], "ORDER BY doc_id NULLS FIRST, size"
+    totals = rows.groupBy(*group).agg(F.sum("n").alias("t"))
+    blocks_before = totals.groupBy("shard", "block").agg(F.sum("t").alias("t")).selectExpr("shard AS s2", "block AS b2", "sum(t) OVER (PARTITION BY shard ORDER BY block) - t AS base")
+    before = totals.selectExpr("shard AS s1", "block AS b1", "doc_id AS d1", "size AS z1", f"sum(t) OVER (PARTITION BY shard, block {order}) - t AS mid")
+    placed = rows.selectExpr("*", f"sum(n) OVER (PARTITION BY {', '.join(group)} ORDER BY text_crc32) - n AS off")
+    placed = placed.join(before, (F.col("shard") == F.col("s1")) & (F.col("block") == F.col("b1")) & F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("size") == F.col("z1")))
+    placed = placed.join(blocks_before, (F.col("shard") == F.col("s2")) & (F.col("block") == F.col("b2"))).withColumn("first", F.expr("base + mid + off"))
+    # rows that agree are numbered in runs of 65536
+    placed = placed.select("*", F.explode(F.expr("sequence(0L, (n - 1) div 65536)")).alias("run"))
+    slot = F.explode(F.expr("sequence(first + run * 65536, first + least(n, (run + 1) * 65536) - 1)"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
