@@ -32,14 +32,15 @@ _CODERS: dict[str, object] = {}
 
 
 def coder(ranks: str):
-    """The worker's tiktoken coder for the lines of a ranks file."""
-    if "now" not in _CODERS:
+    """The worker's tiktoken coder for the lines of a ranks file; the last file's is kept."""
+    if ranks not in _CODERS:
         import public_tokenizers
         import tiktoken
 
+        _CODERS.clear()
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        _CODERS["now"] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return _CODERS["now"]
+        _CODERS[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return _CODERS[ranks]
 
 
 def find(text: str, coder) -> list[tuple[int, int, int]]:
@@ -60,8 +61,9 @@ def find(text: str, coder) -> list[tuple[int, int, int]]:
 def secret_spans(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random of each document.
 
-    spans joins kind:start:end in code points. Null texts are empty and have none; rows stay as many as they are; whole
-    texts are searched, in one pass without a shuffle. ranks: a file of tiktoken ranks.
+    spans joins kind:start:end in code points, by start; of spans that start together, kinds go as listed in KINDS. Null
+    texts are empty and have none; equal rows stay as many as they are; other columns are ignored; whole texts are
+    searched, in one pass without a shuffle. ranks: a file of tiktoken ranks.
     """
     if ranks is None:
         import public_tokenizers
