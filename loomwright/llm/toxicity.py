@@ -77,14 +77,16 @@ class Linear:
         return self.matrix(rows, buckets, early, n) @ self.w
 
 
-def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> list[Linear]:
-    """The chain for labels, one column for each category."""
+def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> list[Linear]:
+    """The chain for labels, one column for each category. prints: a hash of each text; copies go to one fold."""
     n, early, chain = len(labels), np.zeros((len(labels), 0)), []
-    fold = np.arange(n) % FOLDS
+    fold = prints.astype(np.uint64) % np.uint64(FOLDS)
     for k in range(labels.shape[1]):
         y, out = labels[:, k].astype(float), np.zeros(n)
         for f in range(FOLDS):
             train, number = fold != f, np.cumsum(fold != f) - 1
+            if train.all() or not train.any():
+                continue
             own = train[rows]
             model = Linear(number[rows[own]], buckets[own], early[train], y[train])
             out[~train] = model.odds(rows, buckets, early, n)[~train]
@@ -105,14 +107,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sam
     """doc_id and p_<category> for each row of docs, the categories in their order in the chain.
 
     categories: name to an SQL expression over the columns of labels (doc_id, ...) that gives 0 or 1; labels that are
-    null in any category are left out, and so are repeated doc_ids of labels beyond one. Null texts have no words and
-    get the base rates; without any labels all probabilities are 0.5. Rows pass one by one, without a shuffle.
+    null in any category are left out; of several labels of a doc_id, the smallest in the order of the categories holds.
+    Null texts have no words and get the base rates; without any labels all probabilities are 0.5. Equal rows get equal
+    probabilities, and other columns are ignored. Rows pass one by one, without a shuffle.
     """
     spark, names = docs.sparkSession, list(categories)
     known = labels.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", *[f"CAST({e} AS DOUBLE) AS `c{i}`" for i, e in enumerate(categories.values())]).dropna()
     n = known.count()
     share = min(1.0, sample / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * sample).dropDuplicates(["doc_id"])
+    known = known.where(F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    cats = [f"c{i}" for i in range(len(names))]
+    known = known.groupBy("doc_id").agg(F.min(F.struct(*cats)).alias("c")).select("doc_id", "c.*").orderBy("doc_id").limit(2 * sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,16 +125,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sam
                 rows, buckets = present(batch.column(1).slice(a, b - a))
                 ends = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets, pa.int32()))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), lists, *[c.slice(a, b - a) for c in batch.columns[2:]]], names=["doc_id", "words", *[f"c{i}" for i in range(len(names))]])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), lists, *[c.slice(a, b - a) for c in batch.columns[2:]]], names=["doc_id", "words", "print", *cats])
 
     # at most 2 * sample small rows are broadcast
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    chosen = chosen.select("doc_id", "text", *[f"c{i}" for i in range(len(names))]).where("text IS NOT NULL").limit(2 * sample)
-    got = chosen.mapInArrow(features, "doc_id bigint, words array<int>, " + ", ".join(f"c{i} double" for i in range(len(names)))).toArrow().sort_by("doc_id")
+    chosen = chosen.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("print"), *cats).orderBy("doc_id", "print").limit(2 * sample)
+    got = chosen.mapInArrow(features, "doc_id bigint, words array<int>, print bigint, " + ", ".join(f"{c} double" for c in cats)).toArrow().sort_by([("doc_id", "ascending"), ("print", "ascending")])
     words = got["words"].combine_chunks()
     sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False) if len(got) else np.zeros(0, np.int64)
     y = np.column_stack([got[f"c{i}"].to_numpy() for i in range(len(names))])
-    chain = fit(np.repeat(np.arange(len(got)), sizes), words.flatten().to_numpy().astype(np.int64), y) if len(got) >= FOLDS else None
+    chain = fit(np.repeat(np.arange(len(got)), sizes), words.flatten().to_numpy().astype(np.int64), y, got["print"].to_numpy()) if len(got) >= FOLDS else None
     held = spark.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
