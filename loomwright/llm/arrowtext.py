@@ -25,14 +25,14 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Buffer]:
     return np.frombuffer(data, np.uint8), offsets - offsets[0], data
 
 
-def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most `most` bytes together; a longer text is a run of its own."""
+def slices(texts: pa.Array, most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of `rows` rows at most that have `most` bytes together at most; a longer text is a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))) if len(texts) else np.zeros(0)
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        b = min(a + rows, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))))
         yield a, b
         a = b
 

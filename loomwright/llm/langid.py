@@ -25,8 +25,10 @@ BUCKETS, ORDER, CENTROIDS = 4096, 3, 4
 SAMPLE = 800
 #: Share of a centroid's own training texts that rejection would hit.
 REJECT = 0.005
-#: Bytes of text worked on at once.
-AT_ONCE = 1 << 20
+#: With fewer training texts than this, a centroid or a language has no limit of its own.
+FEW = 20
+#: Bytes of text and rows worked on at once; a row takes 12 bytes for each bucket.
+AT_ONCE, ROWS = 1 << 20, 512
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LETTERS: list[np.ndarray] = []
 
@@ -87,19 +89,21 @@ class Model:
     """Centroids with the language and rejection limit of each, and the n-grams' weights."""
 
     def __init__(self, idf: np.ndarray, samples: dict[str, np.ndarray]):
-        self.idf, centroids, limits, names = idf, [], [], []
+        self.idf, centroids, limits, names, every = idf, [], [], [], []
         for lang in sorted(samples):
             x = vectors(samples[lang], idf)
             c = cluster(x)
             best = x @ c.T
-            own = best.argmax(1)
-            for i in range(len(c)):
-                mine = best[own == i, i]
-                limits.append(float(np.quantile(mine, REJECT)) if len(mine) >= 20 else 0.0)
+            own, top = best.argmax(1), best.max(1)
+            every.append(top)
+            # a centroid of few texts has the limit of its language, and a language of few texts that of all
+            whole = float(np.quantile(top, REJECT)) if len(top) >= FEW else np.nan
+            limits += [float(np.quantile(top[own == i], REJECT)) if (own == i).sum() >= FEW else whole for i in range(len(c))]
             centroids.append(c)
             names += [lang] * len(c)
+        limits = np.nan_to_num(limits, nan=float(np.quantile(np.concatenate(every), REJECT)) if every else 0.0)
         self.centroids = np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, BUCKETS), np.float32)
-        self.limits, self.names = np.array(limits), names
+        self.limits, self.names = limits, names
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         c, lettered = counts(texts)
@@ -119,7 +123,7 @@ def fit(train: DataFrame) -> Model:
     def df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for a, b in slices(batch.column(0), AT_ONCE):
+            for a, b in slices(batch.column(0), AT_ONCE, ROWS):
                 c, _ = counts(batch.column(0).slice(a, b - a).to_pylist())
                 total += (c > 0).sum(0)
                 n += b - a
@@ -133,7 +137,7 @@ def fit(train: DataFrame) -> Model:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(0), AT_ONCE):
+            for a, b in slices(batch.column(0), AT_ONCE, ROWS):
                 c, _ = counts(batch.column(0).slice(a, b - a).to_pylist())
                 at = [np.flatnonzero(r) for r in c]
                 yield pa.record_batch({"lang": batch.column(1).slice(a, b - a), "at": pa.array([x.astype(np.int16) for x in at], pa.list_(pa.int16())), "n": pa.array([r[x].astype(np.float32) for r, x in zip(c, at, strict=True)], pa.list_(pa.float32()))})
@@ -160,7 +164,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, far = [], [], []
-            for a, b in slices(batch.column(1), AT_ONCE):
+            for a, b in slices(batch.column(1), AT_ONCE, ROWS):
                 x, y, z = held.value.predict([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 langs, scores, far = langs + x, scores + y.tolist(), far + z.tolist()
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
