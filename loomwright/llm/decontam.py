@@ -2,16 +2,17 @@
 
 The patterns are the 13-word windows of the benchmark's items (a shorter item is one pattern), searched in groups of
 equal length. A shift table, indexed by a hash of a block of two words, tells how far the search may jump from a
-position; where it says zero, the hash of the last words picks a bucket of patterns, and the words themselves are
-compared. Many documents are searched at once: each lane of the search is a cursor of its own, and numpy moves all.
+position; it has eight slots or more for each block of the benchmark, so that few positions of other texts read zero.
+Where it says zero, the hash of the last block picks a bucket of patterns, the hash of the whole window those in the
+bucket to compare, and the words themselves are compared, byte by byte. Many documents are searched at once: each lane of
+the search is a cursor of its own, and numpy moves all.
 
-Words are compared in the end as they are written, so hashes lose and add nothing.
+Patterns are flat arrays of places in the benchmark's words, about 100 bytes for each word of the benchmark.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,10 @@ from .arrowtext import flat, release, slices
 from .common import fresh, table
 
 WINDOW, BLOCK = 13, 2
-#: Bits of the shift table's index, words of a lane, and bytes of text searched at once.
-BITS, LANE, AT_ONCE = 18, 512, 1 << 20
+#: Bits of a shift table's index, at least and at most; words of a lane; bytes of text searched, and of words compared, at once.
+BITS, LANE, AT_ONCE, COMPARED = (12, 26), 512, 1 << 20, 4 << 20
 #: Benchmark text that is held at once, in bytes; a larger benchmark is searched in several passes without a shuffle.
-BENCH_BYTES = 32 << 20
+BENCH_BYTES = 16 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,80 +60,143 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
-    def phrase(self, a: int, b: int) -> bytes:
-        """Words a to b, joined by blanks."""
-        return b" ".join(self.data[self.start[i] : self.end[i]].tobytes() for i in range(a, b))
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M1
+    return x ^ (x >> np.uint64(29))
 
 
 def _block(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Table index of the block of `size` words that ends at each position."""
+    """A hash of the block of `size` words that ends at each position."""
     x = h[at] * _M1
     if size > 1:
         x = x + (h[at - 1] ^ (h[at - 1] >> np.uint64(29))) * _M2
-    x ^= x >> np.uint64(32)
-    return ((x * _M1) >> np.uint64(64 - BITS)).astype(np.int64)
+    return _mix(x)
+
+
+def _window(h: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+    """A hash of the m words from each position on."""
+    x = np.zeros(len(first), np.uint64)
+    for j in range(m):
+        x = x * _M2 + h[first + j]
+    return _mix(x)
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of n[i] numbers each, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _equal(a: Words, i: np.ndarray, b: Words, j: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words of a from each i on are those of b from j on, byte by byte."""
+    out = np.zeros(len(i), bool)
+    step = max(1, COMPARED // (m * 64))
+    for k in range(0, len(i), step):
+        x, y = (z[k : k + step, None] + np.arange(m) for z in (i, j))
+        n = a.end[x] - a.start[x]
+        ok = (n == b.end[y] - b.start[y]).all(1)
+        n, x, y = n[ok].ravel(), x[ok].ravel(), y[ok].ravel()
+        if len(n):
+            differ = a.data[_spread(a.start[x], n)] != b.data[_spread(b.start[y], n)]
+            ok[ok] = np.add.reduceat(differ, (np.cumsum(n) - n)[::m], dtype=np.int64) == 0
+        out[k : k + step] = ok
+    return out
 
 
 class Group:
-    """Wu-Manber tables for the patterns of m words."""
+    """Wu-Manber tables for the patterns of m words: windows of `bench` that start at `first`, each of an item."""
 
-    def __init__(self, m: int, patterns: dict[bytes, set[int]]):
-        self.m, self.block, self.patterns = m, min(BLOCK, m), patterns
+    def __init__(self, m: int, bench: Words, first: np.ndarray, item: np.ndarray):
+        self.m, self.block, self.bench = m, min(BLOCK, m), bench
         most = m - self.block + 1
-        self.shift = np.full(1 << BITS, most, np.int64)
-        self.buckets: dict[int, list[bytes]] = defaultdict(list)
-        w = Words(pa.array([p.decode() for p in patterns]))
-        last = w.bounds[1:] - 1
-        for q in range(self.block - 1, m):
-            np.minimum.at(self.shift, _block(w.hash, last - (m - 1 - q), self.block), m - 1 - q)
-        for p, b in zip(patterns, _block(w.hash, last, self.block), strict=True):
-            self.buckets[int(b)].append(p)
-
-    def occurrences(self, w: Words) -> list[tuple[int, bytes]]:
-        """(number of the first word, pattern) of every occurrence."""
+        self.bits = int(np.clip(np.ceil(np.log2(8 * len(first) + 1)), *BITS))
+        self.shift = np.full(1 << self.bits, most, np.uint8)
+        for q in range(self.block - 1, m):  # a block's least distance to a pattern's end is written last
+            for k in range(0, len(first), 1 << 20):
+                self.shift[self._slot(_block(bench.hash, first[k : k + (1 << 20)] + q, self.block))] = m - 1 - q
+        # buckets by the last block, within them windows by their hash
+        key = (_block(bench.hash, first + m - 1, self.block) & ~np.uint64(0xFFFFFFFF)) | (_window(bench.hash, first, m) >> np.uint64(32))
+        order = np.argsort(key, kind="stable")
+        key, first, item = key[order], first[order], item[order]
+        # equal windows are one pattern with several items
+        new = np.append(True, key[1:] != key[:-1])
+        twin = np.flatnonzero(~new)
+        new[twin] = ~_equal(bench, first[twin - 1], bench, first[twin], m)
+        self.key, self.first, self.item, self.items = key[new], first[new], item, np.append(np.flatnonzero(new), len(item))
+
+    def _slot(self, block: np.ndarray) -> np.ndarray:
+        return (block >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def occurrences(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the first word, number of the pattern) of every pattern's every occurrence."""
         counts = np.diff(w.bounds) - self.m + 1
         lanes = np.maximum(0, -(-counts // LANE))
-        first = w.bounds[:-1] + self.m - 1
-        within = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        at = np.repeat(first, lanes) + within * LANE
+        at = np.repeat(w.bounds[:-1] + self.m - 1, lanes) + _spread(np.zeros(len(lanes), np.int64), lanes) * LANE
         stop = np.minimum(at + LANE, np.repeat(w.bounds[1:], lanes))
-        found = []
+        words, places = [], []
         while len(at):
             b = _block(w.hash, at, self.block)
-            step = self.shift[b]
+            step = self.shift[self._slot(b)]
             hit = step == 0
             if hit.any():
-                for e, bucket in zip(at[hit].tolist(), b[hit].tolist(), strict=True):
-                    phrase = w.phrase(e - self.m + 1, e + 1)
-                    if phrase in self.buckets.get(bucket, ()):
-                        found.append((e - self.m + 1, phrase))
+                i = at[hit] - self.m + 1
+                key = (b[hit] & ~np.uint64(0xFFFFFFFF)) | (_window(w.hash, i, self.m) >> np.uint64(32))
+                lo = np.searchsorted(self.key, key, "left")
+                n = np.searchsorted(self.key, key, "right") - lo
+                if n.any():
+                    i, p = np.repeat(i, n), _spread(lo, n)
+                    same = _equal(w, i, self.bench, self.first[p], self.m)
+                    words.append(i[same])
+                    places.append(p[same])
             at = at + np.maximum(step, 1)
             live = at < stop
             at, stop = at[live], stop[live]
-        return found
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(words + none), np.concatenate(places + none)
 
 
 class Searcher:
-    """Tables for a set of items (id, text)."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        by: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-        w = Words(pa.array([t or "" for _, t in items], pa.string()))
-        for (name, _), a, b in zip(items, w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
-            m = min(window, b - a)
-            for i in range(a, b - m + 1) if m else ():
-                by[m][w.phrase(i, i + m)].add(name)
-        self.groups = [Group(m, dict(p)) for m, p in sorted(by.items())]
-
-    def search(self, w: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
-        """Whether each word is hit; the items found, by text."""
-        edges, items = np.zeros(len(w.start) + 1, np.int64), defaultdict(set)
+    """Tables for a set of items."""
+
+    def __init__(self, ids: np.ndarray, texts: pa.Array, window: int = WINDOW):
+        self.ids, self.bench = ids, Words(texts)
+        n = np.diff(self.bench.bounds)
+        m = np.minimum(window, n)
+        self.groups = []
+        for size in np.unique(m[m > 0]).tolist():
+            own = np.flatnonzero(m == size)
+            windows = n[own] - size + 1
+            self.groups.append(Group(size, self.bench, _spread(self.bench.bounds[own], windows), np.repeat(own, windows)))
+
+    def search(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is hit; the texts and the ids of the items found in them, by text, ascending, each once."""
+        edges, pairs = np.zeros(len(w.start) + 1, np.int64), [np.zeros(0, np.int64)]
         for g in self.groups:
-            for i, p in g.occurrences(w):
-                edges[i] += 1
-                edges[i + g.m] -= 1
-                items[int(w.text[i])] |= g.patterns[p]
-        return np.cumsum(edges[:-1]) > 0, items
+            i, p = g.occurrences(w)
+            np.add.at(edges, i, 1)
+            np.add.at(edges, i + g.m, -1)
+            found = np.unique(w.text[i] * np.int64(len(g.first)) + p)
+            p = found % max(1, len(g.first))
+            n = g.items[p + 1] - g.items[p]
+            pairs.append(np.unique(np.repeat(found // max(1, len(g.first)), n) * np.int64(len(self.ids)) + g.item[_spread(g.items[p], n)]))
+        pair = np.unique(np.concatenate(pairs))
+        text, item = pair // max(1, len(self.ids)), self.ids[pair % max(1, len(self.ids))] if len(pair) else pair
+        order = np.lexsort((item, text))
+        text, item = text[order], item[order]
+        once = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])) if len(text) else np.zeros(0, bool)
+        return np.cumsum(edges[:-1]) > 0, text[once], item[once]
+
+
+_SEARCHERS: dict[str, Searcher] = {}
+
+
+def searcher(held, name: str) -> Searcher:
+    """The worker's tables for a broadcast part of the benchmark; the last part's are kept."""
+    if name not in _SEARCHERS:
+        _SEARCHERS.clear()
+        rows = pa.ipc.open_stream(held.value).read_all()
+        _SEARCHERS[name] = Searcher(rows["i"].to_numpy(), rows["t"].combine_chunks().cast(pa.large_string()))
+    return _SEARCHERS[name]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, bench_bytes: int = BENCH_BYTES) -> DataFrame:
@@ -151,36 +215,40 @@ def contamination(docs: DataFrame, bench: DataFrame, bench_bytes: int = BENCH_BY
     out = docs.withColumn(name, F.expr("named_struct('n_words', CAST(NULL AS BIGINT), 'hits', CAST(NULL AS BINARY), 'item_ids', CAST(NULL AS ARRAY<BIGINT>))"))
 
     for part in range(parts):
-        own = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).distinct().collect()]
-        held = spark.sparkContext.broadcast(own)
-        out = out.mapInArrow(_pass(held, out.columns.index(name), docs.columns.index("text")), out.schema)
+        own = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).distinct().toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as stream:
+            stream.write_table(own)
+        held = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        out = out.mapInArrow(_pass(held, uuid.uuid4().hex, out.columns.index(name), docs.columns.index("text")), out.schema)
     n, h = F.col(name)["n_words"], F.col(name)["hits"]
     hit = F.length(F.replace(F.decode(h, "ISO-8859-1"), F.lit("0"), F.lit(""))).cast("bigint")
     verdict = F.struct(n.alias("n_words"), hit.alias("n_hit"), F.col(name)["item_ids"].alias("item_ids"), ((hit > 0) & (20 * hit >= n)).alias("contaminated"))
     return out.withColumn(name, verdict)
 
 
-def _pass(held, at: int, text: int):
+def _pass(held, part: str, at: int, text: int):
     """A pass that adds one part's hits, a string of 0 and 1 for each word, and items to the struct column at `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        searcher = Searcher(held.value)
+        tables = searcher(held, part)
         for batch in batches:
             texts, struct = batch.column(text), batch.column(at)
             old_hits, old_items = struct.field("hits"), struct.field("item_ids")
             n_words, hits, items = [], [], []
             for a, b in slices(texts, AT_ONCE):
                 w = Words(texts.slice(a, b - a).cast(pa.string()))
-                hit, found = searcher.search(w)
+                hit, of, ids = tables.search(w)
                 marks = (hit + np.uint8(48)).astype(np.uint8)
+                cuts = np.searchsorted(of, np.arange(b - a + 1))
                 for i in range(b - a):
-                    own, more = marks[w.bounds[i] : w.bounds[i + 1]], found.get(i, set())
+                    own, more = marks[w.bounds[i] : w.bounds[i + 1]], ids[cuts[i] : cuts[i + 1]].tolist()
                     if old := old_hits[a + i].as_py():
-                        own, more = own | np.frombuffer(old, np.uint8), more | set(old_items[a + i].as_py())
+                        own, more = own | np.frombuffer(old, np.uint8), sorted({*more, *old_items[a + i].as_py()})
                     n_words.append(len(own))
                     hits.append(own.tobytes() if more else b"")
-                    items.append(sorted(more))
+                    items.append(more)
             new = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["n_words", "hits", "item_ids"])
             cols = list(batch.columns)
             cols[at] = new
@@ -190,7 +258,10 @@ def _pass(held, at: int, text: int):
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with the columns of docs."""
+    """The documents that aren't contaminated, with the columns of docs, whatever their names.
+
+    Null, empty and wordless texts stay; equal rows stay as many as they are; an empty benchmark drops nothing.
+    """
     out = contamination(docs, bench)
     return out.where(~F.col(out.columns[-1])["contaminated"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
