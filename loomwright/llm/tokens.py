@@ -43,19 +43,21 @@ _SIMPLE = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]*
 _OTHER_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, bool], Encoder] = {}
 
 
 class Encoder:
     """Ids of whole texts, as flat numpy arrays."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain
         pre, rest = json.loads(spec).get("pre_tokenizer") or {}, json.loads(spec)
         self.pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not rest.get("normalizer")
+        # added tokens are found within a piece, unless they have blanks or take those around them
+        self.pieces = self.pieces and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in rest.get("added_tokens", []))
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -141,12 +143,12 @@ class Encoder:
         return out, np.append(0, ends)[last]
 
 
-def encoder(spec) -> Encoder:
+def encoder(spec, plain: bool = False) -> Encoder:
     """The worker's encoder for a broadcast specification, with its cache."""
-    if spec.id not in _ENCODERS:
+    if (spec.id, plain) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[spec.id] = Encoder(spec.value)
-    return _ENCODERS[spec.id]
+        _ENCODERS[spec.id, plain] = Encoder(spec.value, plain)
+    return _ENCODERS[spec.id, plain]
 
 
 class _Held:
@@ -173,11 +175,13 @@ def _open(path: str, write: bool):
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, sequence: int = SEQUENCE, end: int = 0) -> list[tuple[int, str, int]]:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, sequence: int = SEQUENCE, end: int = 0, plain: bool = False) -> list[tuple[int, str, int]]:
     """Writes docs (doc_id, text) into `folder`, which all executors must see; returns (shard, path, tokens) in order.
 
-    Null texts have the end id alone; null doc_ids come first; documents with equal doc_ids keep together, ordered by a
-    hash of their text. What comes back is one small row for each shard. A lost executor's shards are written again
+    Null and empty texts have the end id alone; null doc_ids come first; documents with equal doc_ids are ordered by a hash
+    of their text, and rows that agree in both are dealt over several ranges; other columns are ignored; an empty table
+    gives no shard. plain: strings of special tokens in a text are ordinary text; otherwise they become the special ids, as
+    the tokenizers library has it. docs is read twice, so it should be a table. What comes back is one small row for each shard. A lost executor's shards are written again
     under names of their own attempt.
     """
     spark = docs.sparkSession
@@ -186,7 +190,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, sequence: in
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        ctx, enc = TaskContext.get(), encoder(spec)
+        ctx, enc = TaskContext.get(), encoder(spec, plain)
         path = f"{folder}/shard-{ctx.partitionId():07d}-{ctx.taskAttemptId()}"
         item = pa.from_numpy_dtype(enc.dtype)
         schema = pa.schema([("tokens", pa.list_(item, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
@@ -225,11 +229,35 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, sequence: in
                 x.close()
             yield pa.record_batch({"shard": pa.array([ctx.partitionId()], pa.int32()), "path": [path], "tokens": pa.array([total], pa.int64())})
 
-    ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("print"), F.col("row")]
+    ranged = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"print": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return sorted(tuple(r) for r in ranged.mapInArrow(write, "shard int, path string, tokens bigint").collect())
 
 
+class Sequences:
+    """Random access to the sequences of one shard: a memory map of its file, from which nothing is copied.
+
+    Batches have the same number of sequences, but for the last, so that number k is in batch k // (batch size).
+    """
+
+    def __init__(self, path: str):
+        with pa.ipc.open_stream(_open(f"{path}.arrows", False)) as stream:
+            self.batches = list(stream)  # headers alone are read from a memory map
+
+    def __len__(self) -> int:
+        return sum(b.num_rows for b in self.batches)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.Array]:
+        """(ids, mask) of sequence k: views of the file."""
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        batch, row = divmod(k, self.batches[0].num_rows)
+        tokens, mask = (self.batches[batch].column(c) for c in ("tokens", "mask"))
+        width = tokens.type.list_size
+        return tokens.values.slice(row * width, width).to_numpy(zero_copy_only=True), mask.values.slice(row * width, width)
+
+
 def read_token_files(spark: SparkSession, shards: list[tuple[int, str, int]]) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, all of them read from the shards' files."""
 
