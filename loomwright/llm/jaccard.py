@@ -44,7 +44,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 2000, 4, 200_000
 #: Smaller parts of a part (n2), and how many of them may differ (k2).
 SUBPARTS, MISSES = 3, 1
 #: Bytes of text worked on at once, signatures that a task holds before it passes them on.
-AT_ONCE, HELD = 2 << 20, 500_000
+AT_ONCE, HELD = 1 << 20, 200_000
 #: Buckets of signatures at least, and bytes of text for each; bytes of text for each task that matches them; sets of a bucket.
 BUCKETS, BUCKET_BYTES, TASK_BYTES, BUCKET_SETS = 1024, 16 << 20, 64 << 20, 1 << 16
 #: Keys (8 bytes each) that are broadcast at most; more of them are joined by shuffles.
