@@ -8,7 +8,10 @@ third of all rows is spread over as many tasks as it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, words
@@ -92,24 +95,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     the plan's copy of that number; so rows that differ in other columns alone all count. Null and blank texts are never
     taken, null sources form one source, and an empty table gives an empty result.
     """
-    d, row = "_row", "_at"  # docs' own names are inside the struct
-    same = ["doc_id", "source", "size", "print"]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(d), F.monotonically_increasing_id().alias(row))
-    held = materialize(held, "mix-rows")  # the numbers stay as they are
-    mine = {"doc_id": F.col(d)["doc_id"], "source": F.col(d)["source"], "size": F.size(words(F.col(d)["text"])).cast("bigint"), "print": F.xxhash64(F.col(d)["text"])}
-    keyed = held.select(*[v.alias(f"_k{i}") for i, v in enumerate(mine.values())], F.shiftright(row, 33).alias("_part"), F.col(row).alias("_at"))
+    d, same = "_row", ["doc_id", "source", "size", "print"]  # docs' own names are inside the struct
     keys = [f"_k{i}" for i in range(4)]
+
+    def on(left: str, right: str) -> Column:
+        return functools.reduce(operator.and_, [F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}")) for i in range(4)])
+
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(d))
+    held = held.withColumns({"_k0": F.col(d)["doc_id"], "_k1": F.col(d)["source"], "_k2": F.size(words(F.col(d)["text"])).cast("bigint"), "_k3": F.xxhash64(F.col(d)["text"])})
     plan = mix_plan(docs.select("doc_id", "source", "text"), weights, share, most, seed)
-    plan = plan.where("times > 0").select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(same)], F.col("copy").alias("_copy"), F.col("times").alias("_times"))
-    # numbers within a part, and how many came in the parts before: no key's rows meet in one task
+    plan = plan.select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(same)], F.col("copy").alias("_copy"), F.col("times").alias("_times"))
+    votes = plan.groupBy("_v0", "_v1", "_v2", "_v3").agg(F.count(F.lit(1)).alias("_n"), F.sum("_times").cast("int").alias("_times")).where("_times > 0")
+    ones = held.join(votes.where("_n = 1"), on("_k", "_v")).select(d, "_times")
+
+    # rows that agree: numbers within a part, and how many came in the parts before, so that no key's rows meet in one task
+    twins = held.join(votes.where("_n > 1").drop("_times"), on("_k", "_v"), "left_semi").withColumn("_at", F.monotonically_increasing_id())
+    twins = materialize(twins, "mix-twins")  # the numbers stay as they are
+    keyed = twins.select(*keys, "_at", F.shiftright("_at", 33).alias("_part"))
     parts = keyed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = parts.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("_part").alias("_bp"), (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).alias("_base"))
     numbered = keyed.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_at")))
-    on = [F.col(f"_k{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(4)]
-    numbered = numbered.join(before, on[0] & on[1] & on[2] & on[3] & (F.col("_part") == F.col("_bp"))).select(*keys, "_at", (F.col("_base") + F.col("_i") - 1).alias("_number"))
-    on = [F.col(f"_k{i}").eqNullSafe(F.col(f"_v{i}")) for i in range(4)]
-    taken = numbered.join(plan, on[0] & on[1] & on[2] & on[3] & (F.col("_number") == F.col("_copy"))).select("_at", "_times")
-    return held.join(taken, row).select(d, F.explode(F.expr("sequence(1, _times)")).alias("_again")).select(f"{d}.*")
+    numbered = numbered.join(before, on("_k", "_b") & (F.col("_part") == F.col("_bp"))).select(*keys, "_at", (F.col("_base") + F.col("_i") - 1).alias("_number"))
+    taken = numbered.join(plan.where("_times > 0"), on("_k", "_v") & (F.col("_number") == F.col("_copy"))).select("_at", "_times")
+    out = ones.unionByName(twins.select(d, "_at").join(taken, "_at").select(d, "_times"))
+    return out.select(d, F.explode(F.expr("sequence(1, _times)")).alias("_again")).select(f"{d}.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
