@@ -436,7 +436,11 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         across = across.select(F.greatest("x.key", "y.key").alias("key"), F.least("x.key", "y.key").alias("rep")).distinct()
         across = materialize(across, "across").join(done.select("key", "rep"), ["key", "rep"], "left_anti")
         groups = joined(check(across, "verified"))
-
+        for old in (rest, more):
+            forget(old)
+    for old in (members, pairs, star, live):
+        forget(old)
+    release_shuffles(spark)
     named = firsts.join(groups, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
     return named.join(least, "c").join(sizes, "key").select("key", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("group"))
