@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
-_REF = re.compile(r"<(\w[\w \-]*(?:\.\w+)*)>")
+# Fixed value: a reference has a dot; its first part may have blanks and hyphens.
+_REF = re.compile(r"<([\w -]+\.[\w.]+)>")
 
 
 def resolve(rows: DataFrame, ref: str) -> Column | None:
@@ -23,7 +24,10 @@ def resolve(rows: DataFrame, ref: str) -> Column | None:
 
 
 def template(rows: DataFrame, source: str) -> Column:
-    """source with every <reference> replaced; unknown ones stay as written, nulls read None, truth values True and False."""
+    """source with every <block.reference> replaced; unknown ones and those without a dot stay as written.
+
+    Nulls read None, truth values True and False.
+    """
     parts, end = [], 0
     for m in _REF.finditer(source):
         value = resolve(rows, m[1])
@@ -37,6 +41,25 @@ def template(rows: DataFrame, source: str) -> Column:
     return F.concat(*parts, F.lit(source[end:]))
 
 
+def resolved(rows: DataFrame, value: object) -> Column:
+    """A nested value of dicts, lists and texts with its references filled.
+
+    A text that is one reference alone becomes the column itself, of its type; dicts become structs, lists arrays (of JSON
+    texts where their entries differ in type), and all else a literal.
+    """
+    if isinstance(value, str):
+        m = _REF.fullmatch(value)
+        whole = resolve(rows, m[1]) if m else None
+        return whole if whole is not None else template(rows, value)
+    if isinstance(value, dict):
+        return F.struct(*[resolved(rows, v).alias(k) for k, v in value.items()])
+    if isinstance(value, list):
+        parts = [resolved(rows, v) for v in value]
+        kinds = {rows.select(x).schema[0].dataType.simpleString() for x in parts}
+        return F.array(*parts) if len(kinds) <= 1 else F.array(*[F.to_json(F.struct(x.alias("v"))) for x in parts])
+    return F.lit(value)
+
+
 def map_inputs(rows: DataFrame, mappings: list[tuple[str, str]]) -> DataFrame:
     """rows with the targets of mappings (reference, target) filled.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -34,10 +34,17 @@ def _small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, worked in doubles; null where one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    """The sum of products of two vectors, worked in doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the vector of column `name` made one long, once for each row; null where it has no length."""
+    length = F.sqrt(dot(F.col(name), F.col(name)))
+    made = F.transform(F.array(F.struct(F.col(name).alias("v"), length.alias("n"))), lambda x: F.transform(x["v"], lambda e: F.try_divide(e.cast("double"), x["n"])))
+    # exploded, as Spark would otherwise work it out again for each pair
+    return rows.select(*[c for c in rows.columns if c != name], F.explode_outer(made).alias(name))
 
 
 def where_metadata(chunks: DataFrame, wanted: dict | None) -> DataFrame:
@@ -55,8 +62,9 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, wanted: dict | None = None) -> DataFrame:
     """queries (query_id, q_vec), chunks (item_id, embedding, ...): the k chunks nearest by cosine."""
-    pairs = where_metadata(chunks, wanted).join(_small(queries), F.lit(True))
-    return top_k(pairs.select("query_id", "item_id", F.round(cosine(F.col("q_vec"), F.col("embedding")), 6).alias("score")), k)
+    own = unit(where_metadata(chunks, wanted).select("item_id", "embedding"), "embedding")
+    pairs = own.join(_small(unit(queries.select("query_id", "q_vec"), "q_vec")), F.lit(True))
+    return top_k(pairs.select("query_id", "item_id", F.round(dot(F.col("q_vec"), F.col("embedding")), 6).alias("score")), k)
 
 
 def threshold(ranked: DataFrame, least: float) -> DataFrame:
@@ -74,7 +82,7 @@ def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """queries (query_id, query): BM25 of every chunk that has a query term; repeated terms count again."""
     terms = _small(queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
     stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("avg_len"))
-    hits = postings(chunks).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    hits = postings(chunks).join(_small(terms.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = hits.join(terms, "term").join(df, "term").join(F.broadcast(stats), F.lit(True))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -95,7 +103,7 @@ def rank_fusion(lists: Sequence[DataFrame], weights: Sequence[float] | None = No
     if len(weights) != len(lists):
         raise ValueError(f"{len(lists)} lists, but {len(weights)} weights")
     if not lists:
-        raise ValueError("no lists")
+        return SparkSession.active().createDataFrame([], "query_id bigint, item_id bigint, score double, rank bigint")
     both = None
     for i, (ranked, w) in enumerate(zip(lists, weights, strict=True)):
         own = ranked.select("query_id", "item_id", (F.lit(float(w)) / (constant + F.col("rank") - 1)).alias("part"), F.struct(F.lit(i).alias("list"), F.col("rank").alias("at")).alias("seen"))

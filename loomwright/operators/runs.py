@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import ast
+import functools
+import json
+import operator
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,99 +75,228 @@ def drop_orphans(results: DataFrame, calls: DataFrame) -> DataFrame:
     return results.join(calls.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi")
 
 
-_RULE = re.compile(r"^\s*(\w+)\s+(NOT\s+)?(CONTAINS|STARTS_WITH|MATCHES|IN)\s+(.+?)\s*$", re.DOTALL)
+# The grammar of rules, the longest pattern and the length of text that MATCHES looks at.
+_RULE = re.compile(r"^(\w+)\s+(NOT\s+)?(CONTAINS|STARTS_WITH|MATCHES|IN)\s+(.+)$")
+PATTERN_CHARS, MATCHED_CHARS = 500, 10_000
 
 
-def rule(condition: str, columns: list[str]) -> Column:
-    """`field [NOT] CONTAINS|STARTS_WITH|MATCHES|IN value` as a predicate; a missing field is empty text; bad rules match nothing."""
-    m = _RULE.match(condition)
+def rule_problem(condition: object) -> str | None:
+    """Why a condition can never hold, or None: to be asked before a rule is stored, since a bad one matches nothing."""
+    if not isinstance(condition, str) or not condition.strip():
+        return "a condition is a text that isn't empty"
+    m = _RULE.match(condition.strip())
+    if not m:
+        return f"{condition!r} isn't of the form: field [NOT] CONTAINS|STARTS_WITH|MATCHES|IN value"
+    op, value = m[3], m[4].strip()
+    if op == "IN" and not isinstance(_listed(value), list):
+        return "IN takes a JSON list"
+    if op == "MATCHES":
+        pattern = value.strip("'\"")
+        if len(pattern) > PATTERN_CHARS:
+            return f"a pattern has {PATTERN_CHARS} characters at most"
+        try:
+            re.compile(pattern, re.DOTALL)
+        except re.error as e:
+            return f"no regular expression: {e}"
+    return None
+
+
+def _listed(value: str) -> object:
+    """The JSON value of a list that may be quoted either way; None for no JSON."""
+    try:
+        return json.loads(value.replace("'", '"'))
+    except json.JSONDecodeError:
+        return None
+
+
+def rule(condition: str, columns: Sequence[str], kinds: dict[str, str] | None = None) -> Column:
+    """`field [NOT] CONTAINS|STARTS_WITH|MATCHES|IN value` as a predicate that is never null.
+
+    A missing field is empty text and a null reads None. A bad pattern or list matches nothing, so that its negation
+    holds; what has no such form is false. kinds: types of the columns; truth values then read True and False.
+    """
+    m = _RULE.match(condition.strip())
     if not m:
         return F.lit(False)
-    name, negated, op, value = m[1], bool(m[2]), m[3], m[4]
-    field = F.coalesce(F.col(name).cast("string"), F.lit("")) if name in columns else F.lit("")
+    name, negated, op, value = m[1], bool(m[2]), m[3], m[4].strip()
+    field = F.lit("")
+    if name in columns:
+        text = F.col(f"`{name}`").cast("string")
+        field = F.coalesce(F.initcap(text) if (kinds or {}).get(name) == "boolean" else text, F.lit("None"))
+    out = F.lit(False)
     if op == "IN":
-        out = field.isin([x.strip().strip("'\"") for x in value.strip("[]").split(",")])
+        listed = _listed(value)
+        if isinstance(listed, str):
+            out = F.lit(listed).contains(field)
+        elif isinstance(listed, list | dict) and (texts := [x for x in listed if isinstance(x, str)]):
+            out = field.isin(texts)
     else:
         value = value.strip("'\"")
-        if op == "MATCHES":
-            try:
-                re.compile(value)
-            except re.error:
-                return F.lit(False)
-            if len(value) > 500:
-                return F.lit(False)
-        out = {"CONTAINS": field.contains, "STARTS_WITH": field.startswith, "MATCHES": lambda v: F.left(field, F.lit(10_000)).rlike(f"(?s){v}")}[op](value)
+        if op != "MATCHES":
+            out = field.contains(value) if op == "CONTAINS" else field.startswith(value)
+        elif rule_problem(condition) is None:
+            out = F.left(field, F.lit(MATCHED_CHARS)).rlike(f"(?s){value}")
     return ~out if negated else out
 
 
-def apply_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """rows with allowed and reason: the first rule (condition, message) that matches denies."""
-    reason = F.lit(None).cast("string")
-    for condition, message in reversed(rules):
-        reason = F.when(rule(condition, rows.columns), message).otherwise(reason)
+def apply_rules(rows: DataFrame, rules: list[tuple[str, ...]]) -> DataFrame:
+    """rows with allowed and reason: the first rule (condition, message, action) that matches and denies.
+
+    The action is deny where there is none; rules of other actions are passed over.
+    """
+    reason, kinds = F.lit(None).cast("string"), dict(rows.dtypes)
+    for condition, message, *action in reversed(rules):
+        if (action or ["deny"])[0] == "deny":
+            reason = F.when(rule(condition, rows.columns, kinds), message).otherwise(reason)
     return rows.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _OPS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Mod: lambda a, b: a - b * F.floor(F.try_divide(a, b))}
-_CMP = {ast.Eq: lambda a, b: a.eqNullSafe(b), ast.NotEq: lambda a, b: ~a.eqNullSafe(b), ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}
-
-
-def compile_expression(source: str, columns: list[str]) -> Column:
-    """A condition expression as a Column: and/or/not, arithmetic, chained comparisons, names, fields and constants.
-
-    Anything else, calls and powers among it, raises ValueError. Division by zero is null, and a null condition is false.
+_ORDER = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}
+_CMP = _ORDER | {ast.Eq: lambda a, b: a.eqNullSafe(b), ast.NotEq: lambda a, b: ~a.eqNullSafe(b)}
+
+
+class _Coerced:
+    """An operand of a comparison: what reads as true, false, a whole number or a decimal is a number, all else text."""
+
+    def __init__(self, c: Column):
+        self.text = c.cast("string")
+        word = F.lower(F.regexp_replace(self.text, r"^\s+|\s+$", ""))
+        plain = F.replace(word, F.lit("_"), F.lit(""))
+        whole = F.when(word.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), plain)
+        decimal = F.when(word.rlike(r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?$"), plain)
+        special = F.when(word.rlike(r"^[+-]?(inf|infinity)$"), F.when(word.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+        self.whole = F.coalesce(whole.try_cast("bigint"), F.when(word == "true", 1).when(word == "false", 0).cast("bigint"))
+        self.number = F.coalesce(self.whole.cast("double"), decimal.try_cast("double"), special)
+        self.nan = word.rlike(r"^[+-]?nan$")
+
+
+def _compare(op: type, a: Column, b: Column) -> Column:
+    """a op b for operands of any type. Order between text and number, or with null, is null; equality is then false."""
+    x, y = _Coerced(a), _Coerced(b)
+    numbers, texts = x.number.isNotNull() & y.number.isNotNull(), x.number.isNull() & y.number.isNull()
+    f = _CMP[op]
+    both = F.when(x.whole.isNotNull() & y.whole.isNotNull(), f(x.whole, y.whole)).otherwise(f(x.number, y.number))
+    if op in _ORDER:
+        nan = F.coalesce(x.nan, F.lit(False)) | F.coalesce(y.nan, F.lit(False))
+        return F.when(numbers, both).when(nan, F.lit(False)).when(texts, f(x.text, y.text))
+    nan = F.coalesce(x.nan | y.nan, F.lit(False))
+    same = F.when(numbers, both).when(texts & ~nan, f(x.text, y.text))
+    return F.coalesce(same, F.lit(op is ast.NotEq))
+
+
+def compile_expression(source: str, columns: Sequence[str], kinds: dict[str, str] | None = None) -> Column:
+    """A condition expression as a Column: and/or/not, arithmetic, chained comparisons, names, fields, subscripts, constants.
+
+    Texts that read as numbers or truth values are compared as such. kinds: types of the columns; where both sides are
+    known to be numbers, they are compared as they are, so that the filter can be pushed down. Anything else, calls and
+    powers among it, raises ValueError. Division by zero, a missing subscript and an order of text and number are null, and
+    a null condition is false.
     """
 
+    def numeric(n: ast.AST) -> bool:
+        if isinstance(n, ast.Constant):
+            return isinstance(n.value, int | float)
+        if isinstance(n, ast.Name):
+            return (kinds or {}).get(n.id, "").startswith((*_NUMBERS, "decimal"))
+        return isinstance(n, ast.BinOp) and numeric(n.left) and numeric(n.right) or isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub) and numeric(n.operand)
+
+    def truth(n: ast.AST) -> Column:
+        c = go(n)
+        if isinstance(n, ast.Compare | ast.BoolOp) or isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
+            return F.coalesce(c, F.lit(False))
+        text, kind = c.cast("string"), F.typeof(c)
+        return F.coalesce(F.when(kind == "string", text != "").when(kind == "boolean", text == "true").when(kind.isin(*_NUMBERS) | kind.startswith("decimal"), text.try_cast("double") != 0).otherwise(~text.isin("", "[]", "{}")), F.lit(False))
+
     def go(n: ast.AST) -> Column:
         if isinstance(n, ast.Expression):
             return go(n.body)
         if isinstance(n, ast.BoolOp):
-            parts = [F.coalesce(go(v), F.lit(False)) for v in n.values]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out & p if isinstance(n.op, ast.And) else out | p
-            return out
+            parts = [truth(v) for v in n.values]
+            return functools.reduce(operator.and_ if isinstance(n.op, ast.And) else operator.or_, parts)
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
-            return ~F.coalesce(go(n.operand), F.lit(False))
+            return ~truth(n.operand)
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub):
             return -go(n.operand)
         if isinstance(n, ast.BinOp) and type(n.op) in _OPS:
             return _OPS[type(n.op)](go(n.left), go(n.right))
         if isinstance(n, ast.Compare) and all(type(o) in _CMP for o in n.ops):
-            sides = [go(x) for x in (n.left, *n.comparators)]
-            out = F.lit(True)
-            for o, a, b in zip(n.ops, sides, sides[1:], strict=False):
-                out = out & _CMP[type(o)](a, b)
-            return out
-        if isinstance(n, ast.Constant):
+            sides = [n.left, *n.comparators]
+            out = [_CMP[type(o)](go(a), go(b)) if numeric(a) and numeric(b) else _compare(type(o), go(a), go(b)) for o, a, b in zip(n.ops, sides, sides[1:], strict=False)]
+            return functools.reduce(operator.and_, out)
+        if isinstance(n, ast.Constant) and (n.value is None or isinstance(n.value, str | int | float)):
             return F.lit(n.value)
         if isinstance(n, ast.Name) and n.id in columns:
-            return F.col(n.id)
+            return F.col(f"`{n.id}`")
         if isinstance(n, ast.Attribute):
             return go(n.value)[n.attr]
+        if isinstance(n, ast.Subscript):
+            at = n.slice.operand if (back := isinstance(n.slice, ast.UnaryOp) and isinstance(n.slice.op, ast.USub)) else n.slice
+            if isinstance(at, ast.Constant) and isinstance(at.value, str) and not back:
+                return go(n.value)[at.value]
+            if isinstance(at, ast.Constant) and type(at.value) is int:
+                return F.try_element_at(go(n.value), F.lit(-at.value)) if back else F.get(go(n.value), F.lit(at.value))
         raise ValueError(f"not allowed in an expression: {ast.dump(n)[:60]}")
 
-    return go(ast.parse(source, mode="eval"))
+    tree = ast.parse(source, mode="eval")
+    return truth(tree.body)
 
 
 def route(rows: DataFrame, branches: list[str]) -> DataFrame:
     """rows with the route of the first branch that holds: if, elif_1, ..., else."""
-    out = F.lit("else")
+    out, kinds = F.lit("else"), dict(rows.dtypes)
     for i, b in reversed(list(enumerate(branches))):
-        out = F.when(F.coalesce(compile_expression(b, rows.columns), F.lit(False)), f"elif_{i}" if i else "if").otherwise(out)
+        out = F.when(compile_expression(b, rows.columns, kinds), f"elif_{i}" if i else "if").otherwise(out)
     return rows.withColumn("route", out)
 
 
-def error_class(message: Column) -> Column:
-    """The first kind whose words the message has."""
-    m, out = F.lower(F.coalesce(message, F.lit(""))), F.lit("unknown")
-    kinds = (("rate_limit", ("rate limit", "429")), ("context_length", ("context length", "too long")), ("server_error", ("500", "502", "503", "server error")), ("timeout", ("timeout", "timed out")))
-    for kind, texts in reversed(kinds):
-        hit = F.lit(False)
-        for x in texts:
-            hit = hit | m.contains(x)
-        out = F.when(hit, kind).otherwise(out)
-    return out
+# Kinds of errors, by the error's type and by what its message has, in this order.
+_TYPES = {"RateLimitError": "rate_limit", "AuthenticationError": "unrecoverable", "PermissionDeniedError": "unrecoverable"}
+_MESSAGES = (
+    ("prompt_too_long", ("prompt is too long", "context_length_exceeded", "maximum context length", "413", "request too large", "too many tokens")),
+    ("max_output_tokens", ("max_tokens", "maximum output", "output token limit")),
+    ("unrecoverable", ("invalid api key", "authentication", "unauthorized", "permission denied")),
+    ("model_error", ("server error", "500", "502", "503")),
+)
+
+
+def error_class(message: Column, kind: Column | None = None) -> Column:
+    """What to do about an error: by its type, else by the first kind whose words the message has, else unrecoverable.
+
+    Null where there is neither a message nor a type.
+    """
+    kind = F.lit(None).cast("string") if kind is None else kind
+    m, out = F.lower(F.coalesce(message, F.lit(""))), F.lit("unrecoverable")
+    for name, texts in reversed(_MESSAGES):
+        out = F.when(functools.reduce(operator.or_, [m.contains(x) for x in texts]), name).otherwise(out)
+    for name, result in _TYPES.items():
+        out = F.when(kind == name, result).otherwise(out)
+    return F.when(message.isNotNull() | kind.isNotNull(), out)
+
+
+def finish_class(reason: Column) -> Column:
+    """max_output_tokens where an answer ended at its length, else null."""
+    return F.when(reason.isin("length", "max_tokens"), "max_output_tokens")
+
+
+def normalize_messages(messages: DataFrame, tools: Sequence[str] | None = None) -> DataFrame:
+    """messages (conv_id, turn, role, content, tool_calls ARRAY<STRUCT<id, name, ...>>, tool_call_id, injected) as a model may get them.
+
+    Injected system messages with a content are wrapped; calls of tools that aren't among `tools` go (null: all stay), and
+    a list that is then empty is null; tool results whose call isn't in the conversation go. Calls and results meet by
+    conversation and id, so a long conversation isn't gathered.
+    """
+    wrapped = F.concat(F.lit("<system-context>\n"), F.col("content"), F.lit("\n</system-context>"))
+    content = F.when(F.coalesce("injected", F.lit(False)) & (F.col("role") == "system") & (F.col("content") != ""), wrapped).otherwise(F.col("content"))
+    calls = F.col("tool_calls")
+    if tools is not None:
+        left = F.filter(calls, lambda c: F.coalesce(c["name"].isin(*tools), F.lit(False)) if tools else F.lit(False))
+        calls = F.when(F.size(left) > 0, left)
+    d = messages.withColumns({"content": content, "tool_calls": calls}).drop("injected")
+    known = d.select(F.col("conv_id").alias("_c"), F.explode("tool_calls.id").alias("_id")).distinct()
+    results = d.where("role = 'tool'").join(known, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("tool_call_id").eqNullSafe(F.col("_id")), "left_semi")
+    return d.where("role IS NULL OR role <> 'tool'").unionByName(results)
 
 
 def fold_stream(chunks: DataFrame) -> DataFrame:

@@ -32,12 +32,6 @@ def subtree(s, d):
     return E.subtree_sums(n, "tokens").select("doc_id", "line_num", "level", F.col("total").cast("bigint").alias("total"))
 
 
-def ranges(s, d):
-    lines = docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    r = docs(s, d).select("doc_id", F.lit(1).alias("ord"), F.lit(1).alias("a"), F.lit(3).alias("b"))
-    return E.range_text(r, lines).select("doc_id", F.md5("text").alias("h"))
-
-
 def whole_ranges(s, d):
     """Ranges of three pages each that together cover the document."""
     lines = docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
@@ -76,7 +70,6 @@ QUERIES = {
     "tre_leaf_nodes": lambda s, d: E.leaves(E.parents(nodes(s, d))).select("doc_id", "line_num"),
     "tre_subtree_tokens": subtree,
     "tre_page_ranges": lambda s, d: E.page_ranges(items(s, d), "last"),
-    "tre_range_text": ranges,
     "tre_range_text_whole": whole_ranges,
     "tre_page_offset_mode": lambda s, d: E.page_offset(items(s, d).select("doc_id", F.col("ord").alias("pos"), F.col("ord").alias("page"), F.col("physical_index").alias("physical"))),
     "tre_title_match": lambda s, d: E.title_pairs(t(s, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_brand").alias("title"), F.col("p_partkey").alias("page")), t(s, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_brand").alias("title"), (F.col("p_partkey") + 3).alias("physical")), 50),
@@ -112,7 +105,6 @@ e AS (SELECT a.doc_id, a.line_num, a.level, coalesce((SELECT min(b.line_num) FRO
 SELECT e.doc_id, e.line_num, e.level, sum(k.n)::BIGINT AS total FROM e JOIN k ON k.doc_id = e.doc_id AND k.line_num >= e.line_num AND k.line_num < e.stop GROUP BY ALL""",
     "tre_page_ranges": f"SELECT *, coalesce(lead(physical_index) OVER w - CASE WHEN lead(appear_start) OVER w = 'yes' THEN 1 ELSE 0 END, last)::BIGINT AS end_index FROM ({_ITEMS}) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)",
     "tre_range_text_whole": "SELECT doc_id, k AS ord, md5(array_to_string(lines[3 * k + 1:3 * k + 3], '')) AS h FROM (SELECT doc_id, lines, unnest(range(0, (len(lines) + 2) // 3)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))",
-    "tre_range_text": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[2:4], '')) AS h FROM documents WHERE len(string_split(text, chr(10))) > 1",
     "tre_page_offset_mode": f"SELECT doc_id, arg_max(diff, c * 1000 - f)::BIGINT AS \"offset\" FROM (SELECT doc_id, physical_index - ord AS diff, count(*) AS c, min(ord) AS f FROM ({_ITEMS}) GROUP BY ALL) GROUP BY doc_id",
     "tre_title_match": "SELECT a.p_size AS doc_id, a.p_brand AS title, a.p_partkey AS page, b.p_partkey + 3 AS physical FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand WHERE b.p_partkey + 3 >= 50",
     "tre_asof_bounds": f"SELECT doc_id, ord, known, last_value(known IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(known IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM (SELECT doc_id, ord, CASE WHEN physical_index % 3 = 0 THEN physical_index END AS known FROM ({_ITEMS}))",

@@ -32,6 +32,32 @@ def windowed(kind):
     return run
 
 
+#: Texts that read as numbers or truth values, or nearly so.
+ODD = ("10", " 9 ", "abc", "true", "5.0", "1e3", "", "False")
+
+
+def coerced(s, d):
+    k = F.col("event_id")
+    e = ev(s, d).select("event_id", F.element_at(F.array(*map(F.lit, ODD)), (k % 8 + 1).cast("int")).alias("a"), F.element_at(F.array(*map(F.lit, ODD)), (F.floor(k / 8) % 8 + 1).cast("int")).alias("b"), (k % 3).alias("n"))
+    tests = {"lt": "a < b", "eq": "a == b", "ne": "a != b", "n_eq": "a == n", "n_gt": "a > n", "any": "a and not b"}
+    return e.select("event_id", *[R.compile_expression(x, e.columns, dict(e.dtypes)).alias(c) for c, x in tests.items()])
+
+
+def rule_matches(s, d):
+    e = ev(s, d).select("event_id", "event_type", F.when(F.col("event_id") % 7 > 0, F.col("k")).alias("k"))
+    rules = {"bad": "event_type NOT MATCHES '('", "regex": "event_type MATCHES '^c.*k$'", "bare": "k IN 1,2", "listed": "k NOT IN ['1', '2']", "none": "k CONTAINS 'None'", "missing": "other STARTS_WITH 'x'"}
+    return e.select("event_id", *[R.rule(x, e.columns, dict(e.dtypes)).alias(c) for c, x in rules.items()])
+
+
+def normalized(s, d):
+    n = F.col("turn")
+    call = lambda i, name: F.struct(i.cast("string").alias("id"), name.alias("name"))
+    calls = F.when((F.col("role") == "assistant"), F.array(call(n + 1, F.lit("look")), call(n + 2, F.when(n % 2 == 0, "look").otherwise("write"))))
+    role = F.when((F.col("role") == "user") & (n % 3 > 0), "tool").otherwise(F.col("role"))
+    m = conv(s, d).select("conv_id", "turn", role.alias("role"), F.col("text").alias("content"), calls.alias("tool_calls"), n.cast("string").alias("tool_call_id"), (F.col("conv_id") % 2 == 0).alias("injected"))
+    return R.normalize_messages(m, ["look"]).select("conv_id", "turn", "role", F.md5("content").alias("h"), F.array_join("tool_calls.id", ",").alias("calls"))
+
+
 QUERIES = {
     "agg_cost_by_stage": costs,
     "agg_usage_rollup": lambda s, d: ev(s, d).rollup("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")),
@@ -45,6 +71,10 @@ QUERIES = {
     "agt_orphan_tools": lambda s, d: R.drop_orphans(conv(s, d).select("conv_id", "turn", (F.col("turn") % 3).alias("call_id")), conv(s, d).where("role = 'user' AND turn < 2").select("conv_id", F.col("turn").alias("call_id"))),
     "agt_rules_deny": lambda s, d: R.apply_rules(ev(s, d).select("event_id", "event_type"), RULES[:2]),
     "agt_error_class": lambda s, d: ev(s, d).select("event_id", R.error_class(F.concat("event_type", F.lit(" 50"), (F.col("event_id") % 4).cast("string"))).alias("kind")),
+    "agt_rules_matches": rule_matches,
+    "agt_normalize_messages": normalized,
+    "agt_finish_class": lambda s, d: ev(s, d).select("event_id", R.finish_class(F.element_at(F.array(*map(F.lit, ("stop", "length", "max_tokens"))), (F.col("event_id") % 3 + 1).cast("int"))).alias("kind")),
+    "wfl_expr_coerce": coerced,
     "agt_tool_cap": lambda s, d: conv(s, d).select("conv_id", "turn", F.md5(cap(F.col("text"), 100)).alias("h")),
     "orc_tool_names": lambda s, d: t(s, d, "part").select("p_partkey", tool_name(F.col("p_name")).alias("name")),
     "wfl_condition_route": lambda s, d: R.route(t(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), BRANCHES).select("o_orderkey", "route"),
@@ -68,7 +98,16 @@ ORACLES = {
     "agt_session_last_n": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role <> 'system') WHERE n <= 2",
     "agt_orphan_tools": "SELECT conv_id, turn % 3 AS call_id, turn FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn < 2 AND u.turn = c.turn % 3)",
     "agt_rules_deny": "SELECT event_id, event_type, CASE WHEN contains(event_type, 'err') THEN 'no errors' WHEN event_type IN ('click', 'view') THEN 'no looking' END AS reason, NOT (contains(event_type, 'err') OR event_type IN ('click', 'view')) AS allowed FROM events",
-    "agt_error_class": "SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN 'server_error' ELSE 'unknown' END AS kind FROM events",
+    "agt_error_class": "SELECT event_id, CASE WHEN event_id % 4 <> 1 THEN 'model_error' ELSE 'unrecoverable' END AS kind FROM events",
+    "agt_rules_matches": f"SELECT event_id, TRUE AS bad, regexp_matches(event_type, '^c.*k$') AS regex, FALSE AS bare, coalesce(k::VARCHAR, 'None') NOT IN ('1', '2') AS listed, k IS NULL AS none, FALSE AS missing FROM (SELECT event_id, event_type, CASE WHEN event_id % 7 > 0 THEN k END AS k FROM {_E})",
+    "agt_normalize_messages": """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 3 > 0 THEN 'tool' ELSE role END AS role, CASE WHEN role = 'system' AND conv_id % 2 = 0 AND text <> '' THEN E'<system-context>\n' || text || E'\n</system-context>' ELSE text END AS content,
+CASE WHEN role = 'assistant' THEN CASE WHEN turn % 2 = 0 THEN [turn + 1, turn + 2] ELSE [turn + 1] END END AS ids FROM conversations), c AS (SELECT DISTINCT conv_id, unnest(ids) AS id FROM m)
+SELECT conv_id, turn, role, md5(content) AS h, array_to_string(ids, ',') AS calls FROM m WHERE role <> 'tool' OR EXISTS (SELECT 1 FROM c WHERE c.conv_id = m.conv_id AND c.id = m.turn)""",
+    "agt_finish_class": "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'max_output_tokens' END AS kind FROM events",
+    "wfl_expr_coerce": f"""WITH v AS (SELECT * FROM (VALUES (0, '10', 10.0, TRUE), (1, ' 9 ', 9.0, TRUE), (2, 'abc', NULL, TRUE), (3, 'true', 1.0, TRUE), (4, '5.0', 5.0, TRUE), (5, '1e3', 1000.0, TRUE), (6, '', NULL, FALSE), (7, 'False', 0.0, TRUE)) AS v(i, s, x, t))
+SELECT event_id, coalesce(CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN a.x < b.x WHEN a.x IS NULL AND b.x IS NULL THEN a.s < b.s END, FALSE) AS lt,
+coalesce(CASE WHEN a.x IS NULL AND b.x IS NULL THEN a.s = b.s ELSE a.x = b.x END, FALSE) AS eq, coalesce(CASE WHEN a.x IS NULL AND b.x IS NULL THEN a.s <> b.s ELSE a.x <> b.x END, TRUE) AS ne,
+coalesce(a.x = event_id % 3, FALSE) AS n_eq, coalesce(a.x > event_id % 3, FALSE) AS n_gt, a.t AND NOT b.t AS any FROM {_E} JOIN v a ON a.i = event_id % 8 JOIN v b ON b.i = event_id // 8 % 8""",
     "agt_tool_cap": "SELECT conv_id, turn, md5(CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || chr(10) || '[Truncated: ' || length(text)::VARCHAR || ' chars total]' ELSE text END) AS h FROM conversations",
     "orc_tool_names": "SELECT p_partkey, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS name FROM part",
     "wfl_condition_route": "SELECT o_orderkey, CASE WHEN o_totalprice / 1000 > 200 AND o_orderstatus = 'O' THEN 'if' WHEN 100 < o_totalprice - 1000 * floor(o_totalprice / 1000) AND o_totalprice - 1000 * floor(o_totalprice / 1000) <= 500 THEN 'elif_1' WHEN o_orderstatus = 'F' THEN 'elif_2' ELSE 'else' END AS route FROM orders",
