@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +59,58 @@ def subtree_sums(nodes: DataFrame, value: str) -> DataFrame:
     return nodes.join(up.groupBy("doc_id", "line_num").agg(F.sum(value).alias("total")), ["doc_id", "line_num"])
 
 
+def thin(nodes: list[tuple[int, int, str]], least: int, count) -> list[tuple[int, int, str]]:
+    """Nodes (level, tokens of the subtree, text) in order, with subtrees of fewer than `least` tokens merged into their top.
+
+    From the last node to the first: a node below `least` takes the texts of what is left of its subtree, and its tokens
+    are then counted anew by count(text).
+    """
+    kept: list[tuple[int, int, str]] = []  # what is left behind the node, the nearest last
+    for level, tokens, text in reversed(nodes):
+        if tokens < least:
+            own = []
+            while kept and kept[-1][0] > level:
+                own.append(kept.pop()[2])
+            for more in (x for x in own if x.strip()):
+                text += ("\n\n" if text and not text.endswith("\n") else "") + more
+            if any(x.strip() for x in own):
+                tokens = count(text)
+        kept.append((level, tokens, text))
+    return kept[::-1]
+
+
+def thinned(nodes: DataFrame, least: int) -> DataFrame:
+    """nodes (doc_id, line_num, level, text, tokens): thin() for each document; tokens are counted by white space.
+
+    A document's nodes meet in one row; documents are independent of each other.
+    """
+    d = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_num", "level", "tokens", F.coalesce("text", F.lit("")).alias("text")))).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cols = [], [[], [], [], []]
+            for i, n in enumerate(batch.column(1)):
+                n = n.as_py()
+                left = thin([(_Level(x["level"], x["line_num"]), x["tokens"], x["text"]) for x in n], least, lambda t: len(t.split()))
+                for level, tokens, text in left:
+                    at.append(i)
+                    for c, x in zip(cols, (level.line, int(level), tokens, text), strict=True):
+                        c.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "line_num", "level", "tokens", "text"])
+
+    return d.mapInArrow(run, f"doc_id {dict(nodes.dtypes)['doc_id']}, line_num bigint, level bigint, tokens bigint, text string")
+
+
+class _Level(int):
+    """A level that knows its line."""
+
+    def __new__(cls, level: int, line: int):
+        out = super().__new__(cls, level)
+        out.line = line
+        return out
+
+
 def page_ranges(items: DataFrame, last: str) -> DataFrame:
     """items (doc_id, ord, physical_index, appear_start, <last>) with end_index: up to the next item's page, or the one before."""
     w = Window.partitionBy("doc_id").orderBy("ord")

@@ -22,6 +22,17 @@ def nodes(s, d):
     return E.headers(marked(s, d))
 
 
+def thinned(s, d):
+    n = E.section_text(marked(s, d), nodes(s, d)).withColumn("tokens", X.word_count(F.col("text")))
+    n = E.subtree_sums(n, "tokens").select("doc_id", "line_num", "level", "text", F.col("total").cast("bigint").alias("tokens"))
+    return E.thinned(n, 150).select("doc_id", "line_num", "level", "tokens", F.md5("text").alias("h"))
+
+
+def grouped_pages(s, d):
+    p = T.document_pages(docs(s, d), 100).withColumn("tokens", X.word_count(F.col("text")))
+    return T.page_groups(p, 400).select("doc_id", "group", F.md5("text").alias("h"))
+
+
 def items(s, d):
     l = t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
     return l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("ord"), (F.col("l_partkey") % 50 + F.col("l_linenumber") * 3).cast("bigint").alias("physical_index"), F.when(F.col("l_returnflag") == "N", "yes").otherwise("no").alias("appear_start"), F.lit(99).cast("bigint").alias("last"))
@@ -53,6 +64,11 @@ _ITEMS = "SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS ord, (l_partkey %
 QUERIES = {
     "txt_clean_fixed": lambda s, d: docs(s, d).select("doc_id", F.md5(X.clean_fixed(F.col("text"))).alias("h")),
     "txt_clean_recursive": lambda s, d: docs(s, d).select("doc_id", F.md5(X.clean_recursive(F.col("text"))).alias("h")),
+    "txt_document_pages": lambda s, d: T.document_pages(docs(s, d), 100).select("doc_id", "page", F.md5("text").alias("h")),
+    "txt_heading_pages": lambda s, d: T.document_pages(marked(s, d), 100, headings=True).select("doc_id", "page", F.md5("text").alias("h")),
+    "txt_group_pages": grouped_pages,
+    "txt_token_chunks": lambda s, d: T.token_chunks(docs(s, d), 100, 10).select("doc_id", "chunk", "start_char", "end_char", F.md5("text").alias("h")),
+    "tre_thinning": thinned,
     "txt_word_pages": lambda s, d: T.word_pages(docs(s, d), 100).select("doc_id", "page", F.md5("text").alias("h")),
     "txt_pages_greedy": lambda s, d: T.pages(docs(s, d), 120, "\n", "\n").select("doc_id", "page", F.md5("text").alias("h")),
     "txt_fixed_chunks_nosnap": lambda s, d: T.fixed_windows(docs(s, d), 400, 50).select("doc_id", "chunk", "start_char", "end_char", F.md5("text").alias("h")),
