@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,20 @@ def slices(texts: pa.Array, most: int, rows: int = 1 << 30) -> Iterator[tuple[in
         a = b
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, with memory given back before it starts and when it ends: workers live on idle."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def release() -> None:
     """Gives memory that earlier tasks of this worker have freed back to the system."""
     gc.collect()

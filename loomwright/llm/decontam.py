@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import flat, release, slices
+from .arrowtext import flat, slices, tidy
 from .common import fresh, table
 
 WINDOW, BLOCK = 13, 2
@@ -230,8 +230,8 @@ def contamination(docs: DataFrame, bench: DataFrame, bench_bytes: int = BENCH_BY
 def _pass(held, part: str, at: int, text: int):
     """A pass that adds one part's hits, a string of 0 and 1 for each word, and items to the struct column at `at`."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         tables = searcher(held, part)
         for batch in batches:
             texts, struct = batch.column(text), batch.column(at)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import release, slices
+from .arrowtext import slices, tidy
 from .common import forget, fresh, materialize, release_shuffles, table
 from .components import components
 from .decontam import Words
@@ -147,8 +147,8 @@ def sketch(x: np.ndarray) -> np.ndarray:
 def _sign(frequent, buckets: int, set_buckets: int):
     """Rows (bucket, data): signatures with keys in buckets 0 and up, sets' sizes and sketches in buckets below 0."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         seen: set[int] = set()
         sigs, keys, sizes, held = [], [], [], 0
 
@@ -194,13 +194,13 @@ def _sign(frequent, buckets: int, set_buckets: int):
     return run
 
 
+@tidy
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, n, s0 to s7) of sets, and (key, rep, bid): keys of sets with a common signature.
 
     The rows come sorted by bucket, and one bucket is worked on at a time. bid names a group of three keys or more (null
     for two); equal groups of a bucket are given once.
     """
-    release()
     now, parts = None, []
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -266,8 +266,8 @@ def _apart_common(a: str, b: str) -> str:
     return f"({a}n - {a}v + {b}n - {b}v + greatest({_apart(a, b, 'k')}, abs({a}v - {b}v)))"
 
 
+@tidy
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     last, own = None, None
     for batch in batches:
         key, rep, tx, tr = batch.columns
@@ -304,6 +304,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(rows["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+@tidy
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(s, key) for each shingle of each text of (key, text)."""
     for batch in batches:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import flat, release, slices
+from .arrowtext import flat, slices, tidy
 from .common import local_path, new_path, table
 
 SEQUENCE, PER_BATCH = 2048, 256
@@ -188,8 +188,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, sequence: in
     with open(tokenizer, encoding="utf-8") as f:
         spec = _Held(spark, f.read())
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         ctx, enc = TaskContext.get(), encoder(spec, plain)
         path = f"{folder}/shard-{ctx.partitionId():07d}-{ctx.taskAttemptId()}"
         item = pa.from_numpy_dtype(enc.dtype)
