@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import slices, tidy
-from .common import forget, fresh, materialize, release_shuffles, table
+from .common import forget, fresh, materialize, release_shuffles, small_batches, table
 from .components import components
 from .decontam import Words
 
@@ -47,6 +47,8 @@ SUBPARTS, MISSES = 3, 1
 AT_ONCE, HELD = 1 << 20, 200_000
 #: Buckets of signatures at least, and bytes of text for each; bytes of text for each task that matches them; sets of a bucket.
 BUCKETS, BUCKET_BYTES, TASK_BYTES, BUCKET_SETS = 1024, 16 << 20, 64 << 20, 1 << 16
+#: Rows of an Arrow batch, each with two whole texts at most.
+BATCH_ROWS = 1000
 #: Keys (8 bytes each) that are broadcast at most; more of them are joined by shuffles.
 BROADCAST_KEYS = 1 << 18
 #: E as a share of all parts, in the schemes without frequent shingles.
@@ -239,7 +241,7 @@ def _bucket(bucket: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     pick = pick[count[pick] > 1]
     n = count[pick]
     at = np.repeat(first[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    step = 1 << 18
+    step = 1 << 16
     for a in range(0, len(at), step):
         s = slice(a, a + step)
         yield _rows(key[at[s]], rep=np.repeat(key[first[pick]], n)[s], bid=np.repeat(bid[pick], n)[s].view(np.int64), two=np.repeat(n == 2, n)[s])
@@ -347,7 +349,14 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     that links reach, the text's own included; a null doc_id is smaller than none: it is null only where all are. A null
     text has no shingles and is linked with nothing, so its rows have components of their own; so do wordless texts.
     group is the smallest key of the component: components that share their component_id differ in it.
+    The session's Arrow batches are kept small while the join runs.
     """
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _groups(docs)
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """jaccard_groups() itself."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("key", F.xxhash64("text"))
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
