@@ -6,12 +6,15 @@ word before last (skip). All other words fall into classes by their first byte,
 follows from its count in all training texts, so that unseen words have one too.
 
 Training runs in rounds over disjoint parts of all training texts. In a round each trainer updates the weights on its
-share by stochastic gradients (AdaGrad by rows), and the trainers' weights are averaged. Counts of all words stay in a
+share by stochastic gradients (AdaGrad by rows), and the trainers' weights are averaged. Trainers are as many as the
+tokens ask for, at most one for each of the input's partitions, and not as many as there are cores, so that the longest
+task doesn't grow with the input and a lost executor repeats no more than its partitions. Counts of all words stay in a
 table; a bounded number of frequent words goes to the executors, the rest is looked up by a join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,9 @@ MODEL = CLASSES * WIDTH
 START, CONTEXTS = MODEL + OTHER, MODEL + OTHER + 1
 #: Hash rows of the pair of words before, and of a feature with a class.
 PAIRS, WITHIN = 1 << 13, 1 << 14
-ROUNDS, RATE, BATCH = 2, 0.2, 4096
+ROUNDS, RATE, BATCH = 4, 0.2, 4096
+#: Tokens that a trainer learns from in a round, about: more trainers than partitions aren't made.
+SHARE = 1 << 21
 #: Frequent words whose counts every executor gets, at most (about 20 bytes each).
 HOT = 1 << 19
 AT_ONCE = 6 << 20
@@ -209,7 +214,7 @@ def _vocabulary(counts: DataFrame, texts: int) -> tuple[Vocabulary, int]:
 def train(docs: DataFrame, vocabulary, rounds: int = ROUNDS) -> Weights:
     """Weights from all texts of docs (text), in `rounds` rounds over disjoint parts of them."""
     spark, now = docs.sparkSession, Weights()
-    n = max(2, spark.sparkContext.defaultParallelism)
+    n = max(2, math.ceil(vocabulary.value.tokens / rounds / SHARE))
     for r in range(rounds):
         held = spark.sparkContext.broadcast(now.flat)
 
