@@ -109,13 +109,14 @@ def contexts(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """Linear weights of both levels, in one flat array."""
+    """Linear weights of both levels and AdaGrad's sums by row, in one flat array: later rounds go on with the sums."""
 
     def __init__(self, flat: np.ndarray | None = None):
         rows = 2 * CONTEXTS + PAIRS
-        self.flat = np.zeros(rows * (CLASSES + OTHER) + WITHIN * WIDTH, np.float32) if flat is None else flat
-        self.upper = self.flat[: rows * (CLASSES + OTHER)].reshape(rows, CLASSES + OTHER)
-        self.lower = self.flat[rows * (CLASSES + OTHER) :].reshape(WITHIN, WIDTH)
+        ends = np.cumsum([rows * (CLASSES + OTHER), WITHIN * WIDTH, rows, WITHIN])
+        self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat
+        upper, lower, *self.sums = np.split(self.flat, ends[:-1])
+        self.upper, self.lower = upper.reshape(rows, CLASSES + OTHER), lower.reshape(WITHIN, WIDTH)
 
     @staticmethod
     def features(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
@@ -157,7 +158,7 @@ def _class(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < MODEL, ids // WIDTH, ids - MODEL + CLASSES)
 
 
-def train_on(w: Weights, acc: tuple[np.ndarray, np.ndarray], v: Vocabulary, ids: np.ndarray, doc: np.ndarray) -> None:
+def train_on(w: Weights, v: Vocabulary, ids: np.ndarray, doc: np.ndarray) -> None:
     one, two = contexts(ids, doc)
     cls = _class(ids)
     for a in range(0, len(ids), BATCH):
@@ -165,13 +166,13 @@ def train_on(w: Weights, acc: tuple[np.ndarray, np.ndarray], v: Vocabulary, ids:
         feats = Weights.features(one[s], two[s])
         p = _level(w.upper, feats, v.class_bias)
         p[np.arange(len(p)), cls[s]] -= 1
-        _update(w.upper, acc[0], feats, p)
+        _update(w.upper, w.sums[0], feats, p)
         k = np.flatnonzero(ids[s] < MODEL) + a
         if len(k):
             feats = Weights.within(one[k], two[k], cls[k])
             p = _level(w.lower, feats, v.word_bias[cls[k]])
             p[np.arange(len(k)), ids[k] % WIDTH] -= 1
-            _update(w.lower, acc[1], feats, p)
+            _update(w.lower, w.sums[1], feats, p)
 
 
 def log10_probability(w: Weights, v: Vocabulary, ids: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -220,11 +221,10 @@ def train(docs: DataFrame, vocabulary, rounds: int = ROUNDS) -> Weights:
 
         def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             w, v, tokens = Weights(held.value.copy()), vocabulary.value, 0
-            acc = np.zeros(len(w.upper), np.float32), np.zeros(len(w.lower), np.float32)
             for batch in batches:
                 for a, b in slices(batch.column(0), AT_ONCE):
                     ids, _, doc, _ = v.encode(batch.column(0).slice(a, b - a))
-                    train_on(w, acc, v, ids, doc)
+                    train_on(w, v, ids, doc)
                     tokens += len(ids)
             if tokens:
                 for i in range(0, len(w.flat), CHUNK):
