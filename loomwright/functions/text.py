@@ -56,3 +56,14 @@ def cap(c: Column, most: int) -> Column:
     """Long text cut, with a note of its whole length."""
     note = F.concat(F.left(c, F.lit(most)), F.lit("\n[Truncated: "), F.length(c).cast("string"), F.lit(" chars total]"))
     return F.when(F.length(c) > most, note).otherwise(c)
+
+
+def dot_leaders(c: Column) -> Column:
+    """Rows of five dots or more, with or without blanks between them, as a colon."""
+    return F.regexp_replace(F.regexp_replace(c, r"\.{5,}", ": "), r"(?:\. ){5,}\.?", ": ")
+
+
+def labelled_page(number: Column, text: Column) -> Column:
+    """A page's text between two tags with its number."""
+    tag = F.concat(F.lit("<physical_index_"), number.cast("string"), F.lit(">\n"))
+    return F.concat(tag, text, F.lit("\n"), tag)

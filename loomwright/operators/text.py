@@ -262,6 +262,40 @@ def token_chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, end
     return _rows(docs, cut, "chunk bigint, start_char bigint, end_char bigint, text string")
 
 
+def fixed_token_spans(text: str, ends: Sequence[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans of `size` tokens that back up to a blank, moved back to the end of a token; ends: where each token ends.
+
+    They end once the rest lies within the overlap. Where no token ends before the blank, a tenth of `size` tokens is taken.
+    """
+    places, n, out, start = [0, *ends], len(ends), [], 0
+    if n <= size:
+        return [(0, len(text))] if text.strip() else []
+    while start + overlap < n:
+        stop = min(start + size, n)
+        if stop < n:
+            a, b = places[start], places[stop]
+            cut = max(text.rfind(x, a + 1, b + 1) for x in " \n\r\t")
+            stop = bisect.bisect_right(places, cut if cut > a else b) - 1
+            if stop <= start:
+                stop = min(start + max(1, size // 10), n)
+        if text[places[start] : places[stop]].strip():
+            out.append((places[start], places[stop]))
+        start = max(start + 1, stop - overlap)
+    return out
+
+
+def fixed_token_chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, ends: Callable[[str], Sequence[int]] = plain_token_ends) -> DataFrame:
+    """docs (doc_id, text): fixed chunks of `size` tokens of cleaned text; ends and the columns are token_chunks'."""
+    check_sizes(size, overlap)
+
+    def cut(text: str) -> Iterator[tuple[int, int, int, str]]:
+        text = re.sub(" +", " ", re.sub(r"\n+", "\n", text)).strip()
+        for k, (a, b) in enumerate(fixed_token_spans(text, ends(text), size, overlap)):
+            yield k, a, b, text[a:b].strip()
+
+    return _rows(docs, cut, "chunk bigint, start_char bigint, end_char bigint, text string")
+
+
 def fixed_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of `size` characters that back up to white space; they end once the rest lies within the overlap."""
     if len(text) <= size:

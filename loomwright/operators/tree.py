@@ -42,6 +42,39 @@ def parents(nodes: DataFrame) -> DataFrame:
     return d.withColumn("parent_line", F.when(above > 0, above)).select(*nodes.columns, "parent_line")
 
 
+def with_depth(nodes: DataFrame) -> DataFrame:
+    """nodes with depth: the number of headers that are open above each, 5 at most. Levels may be skipped."""
+    run = Window.partitionBy("doc_id").orderBy("line_num").rowsBetween(Window.unboundedPreceding, -1)
+    last = {k: F.max(F.when(F.col("level") == k, F.col("line_num"))).over(run) for k in range(1, 6)}
+    d = nodes.select("*", *[c.alias(f"_{k}") for k, c in last.items()])
+    depth = F.lit(0)
+    for k in range(1, 6):  # a header is still open if none of a smaller level has come after it
+        closed = F.greatest(F.lit(-1), F.lit(-1), *[F.col(f"_{j}") for j in range(1, k)])
+        depth = depth + F.when((F.col("level") > k) & (F.col(f"_{k}") > closed), 1).otherwise(0)
+    return d.withColumn("depth", depth.cast("bigint")).select(*nodes.columns, "depth")
+
+
+def add_offset(items: DataFrame, offsets: DataFrame) -> DataFrame:
+    """items (doc_id, ..., page, physical_index) and offsets (doc_id, offset), one a document: known pages become indices.
+
+    Where there is no offset, or no page, the item stays as it is.
+    """
+    d = items.join(offsets.select("doc_id", F.col("offset").alias("_o")), "doc_id", "left")
+    moved = F.col("page").isNotNull() & F.col("_o").isNotNull()
+    index = F.when(moved, F.col("page") + F.col("_o")).otherwise(F.col("physical_index"))
+    return d.withColumns({"physical_index": index, "page": F.when(~moved, F.col("page"))}).select(*items.columns)
+
+
+def toc_accuracy(items: DataFrame, pages: str) -> DataFrame:
+    """items (doc_id, ord, physical_index, answer, <pages>): the share of answers `yes` among items with an index.
+
+    It is 0 where no item has an index, or where the last that has one lies before the middle of the document.
+    """
+    known = F.col("physical_index").isNotNull()
+    d = items.groupBy("doc_id").agg(F.max_by("physical_index", F.when(known, F.col("ord"))).alias("_last"), F.max(pages).alias("_n"), F.avg(F.when(known, F.coalesce(F.col("answer") == "yes", F.lit(False)).cast("int"))).alias("_share"))
+    return d.select("doc_id", F.when(F.col("_last") >= F.col("_n") / 2, F.col("_share")).otherwise(F.lit(0.0)).alias("accuracy"))
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """nodes (with parent_line) that are no node's parent."""
     inner = nodes.where("parent_line IS NOT NULL").select("doc_id", F.col("parent_line").alias("line_num")).distinct()

@@ -1,8 +1,8 @@
 """All queries of the engine by name, and the SQL that they are compared with."""
 
-from . import documents, flows, ingest, retrieval, runs, toc
+from . import answers, documents, flows, ingest, retrieval, runs, toc
 
-MODULES = (retrieval, documents, ingest, runs, flows, toc)
+MODULES = (retrieval, documents, ingest, runs, flows, toc, answers)
 
 
 def merged(dicts) -> dict:

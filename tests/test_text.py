@@ -84,3 +84,28 @@ def test_queries_are_the_plain_functions(spark):
     got = {(r["doc_id"], r["chunk"]): (r["start_char"], r["end_char"], r["h"]) for r in registry.QUERIES["txt_token_chunks"](spark, SF).collect()}
     clean = {d: re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", t)).strip() for d, t in docs.items()}
     assert got == {(d, k): (a, b, md5(t[a:b].strip())) for d, t in clean.items() for k, (a, b) in enumerate(T.token_spans(t, T.plain_token_ends(t), 100, 10))}
+
+
+def test_fixed_token_spans_against_brute_force():
+    """Every start is tried token by token and every end letter by letter."""
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  \n.") for _ in range(rng.randrange(1, 60))).strip()
+        ends, size = T.plain_token_ends(text), rng.randrange(2, 9)
+        overlap = rng.randrange(size)
+        places, want, start = [0, *ends], [], 0
+        if len(ends) <= size:
+            want = [(0, len(text))] if text else []
+        else:
+            while start + overlap < len(ends):
+                stop = min(start + size, len(ends))
+                if stop < len(ends):
+                    blanks = [i for i in range(places[start] + 1, places[stop] + 1) if text[i] in " \n\r\t"]
+                    at = blanks[-1] if blanks else places[stop]
+                    stop = max(k for k, p in enumerate(places) if p <= at)
+                    if stop <= start:
+                        stop = min(start + max(1, size // 10), len(ends))
+                if text[places[start] : places[stop]].strip():
+                    want.append((places[start], places[stop]))
+                start = max(start + 1, stop - overlap)
+        assert T.fixed_token_spans(text, ends, size, overlap) == want
