@@ -2,8 +2,9 @@
 
 The most frequent words, in classes of equal number by frequency, have a softmax over classes and one within the class;
 both are linear in hashed features of the word before (n-gram), of the two words before together (n-gram) and of the
-word before last (skip). All other words fall into classes by their first byte, within which a word's probability
-follows from its count in all training texts, so that unseen words have one too.
+word before last (skip). All other words fall into classes by their first byte and, in a class, into buckets by a hash of
+the word; classes and buckets have the same softmaxes with the same features, and in a bucket a word's probability follows
+from its count in all training texts, so that unseen words have one too. As contexts, other words are told apart by hash.
 
 Training runs in rounds over disjoint parts of all training texts. In a round each trainer updates the weights on its
 share by stochastic gradients (AdaGrad by rows), and the trainers' weights are averaged. Trainers are as many as the
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from .arrowtext import slices
 from .common import materialize, table
 
-#: Words with a softmax of their own: CLASSES classes of WIDTH words. Other words: OTHER classes.
+#: Words with a softmax of their own: CLASSES classes of WIDTH words. Other words: OTHER classes of WIDTH buckets.
 CLASSES, WIDTH, OTHER = 32, 64, 32
-MODEL = CLASSES * WIDTH
-#: Ids of contexts: the words above, the other classes, the start of a text.
-START, CONTEXTS = MODEL + OTHER, MODEL + OTHER + 1
+MODEL, TARGETS = CLASSES * WIDTH, (CLASSES + OTHER) * WIDTH
+#: Ids of contexts: the words above, hash rows of other words seen SEEN times in training, classes of the rest, the start.
+HASHED, SEEN = 1 << 13, 16
+START, CONTEXTS = MODEL + HASHED + OTHER, MODEL + HASHED + OTHER + 1
 #: Hash rows of the pair of words before, and of a feature with a class.
 PAIRS, WITHIN = 1 << 13, 1 << 14
-ROUNDS, RATE, BATCH = 4, 0.2, 4096
+#: EASE is what AdaGrad's sums start from, so that features seen once or twice change little.
+ROUNDS, RATE, EASE, BATCH = 4, 0.2, 0.2, 4096
 #: Tokens that a trainer learns from in a round, about: more trainers than partitions aren't made.
 SHARE = 1 << 21
 #: Frequent words whose counts every executor gets, at most (about 20 bytes each).
@@ -55,6 +58,25 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return (flat if keep.all() else flat.filter(full)), np.bincount(doc[keep], minlength=len(n))
 
 
+def word_hash(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash of length, first eight and last four bytes) of words, none of them empty."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, start, end = np.frombuffer(words.buffers()[2], np.uint8), offsets[:-1], offsets[1:]
+    h = (end - start).astype(np.uint64)
+    for at in [*(np.minimum(start + k, end - 1) for k in range(8)), *(np.maximum(end - k, start) for k in range(1, 5))]:
+        h = (h ^ data[at]) * np.uint64(0x100000001B3)
+    h ^= h >> np.uint64(29)
+    return data[start].astype(np.int64), ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+
+
+def buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket among OTHER * WIDTH, hash row among HASHED) of words that have no number in the model."""
+    lead, h = word_hash(words)
+    return (lead & (OTHER - 1)) * WIDTH + (h & (WIDTH - 1)), h // WIDTH & (HASHED - 1)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch.column(0), 4 * AT_ONCE):
@@ -70,41 +92,40 @@ class Vocabulary:
         self.words, self.counts = pa.array(words, pa.string()), np.array(counts, np.int64)
         self.texts, self.tokens, self.distinct = texts, tokens, distinct
         self.total = tokens + 0.5 * (distinct + 1)
-        # per other class: log10 of the sum of its words' counts, each half a token more, and the same for an unseen one
-        self.other = np.log10(np.array([n + 0.5 * (v + 1) for n, v in other]))
-        prior = np.zeros(CLASSES + OTHER)
+        # per bucket of other words: the sum of its words' counts, each half a token more, and the same for an unseen one
+        rest = np.array([n + 0.5 * (v + 1) for n, v in other])
+        self.other = np.log10(rest)
         first = np.concatenate([[texts], self.counts[: MODEL - 1]]).astype(np.float64)
         first = np.pad(first, (0, MODEL - len(first)))
-        within = first.reshape(CLASSES, WIDTH) + 0.5
-        prior[:CLASSES], prior[CLASSES:] = within.sum(1), [n + 0.5 * (v + 1) for n, v in other]
+        within = np.concatenate([first + 0.5, rest]).reshape(CLASSES + OTHER, WIDTH)
+        prior = within.sum(1)
         self.class_bias, self.word_bias = np.log(prior / prior.sum()).astype(np.float32), np.log(within / within.sum(1, keepdims=True)).astype(np.float32)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """(ids, counts, text of each token, words that aren't frequent): each text ends with the end token, id 0.
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(ids, contexts, counts, text of each token, words that aren't frequent): each text ends with the end token, id 0.
 
-        ids: a model word's number, or MODEL + its class. counts: -1 for words that aren't frequent.
+        ids: a model word's number, or MODEL + its bucket. contexts: the number, or MODEL + its hash
+        row or, for words seen too seldom, + HASHED + its class. counts: -1 for words that aren't frequent.
         """
         words, n = split(texts)
         at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy()
-        lead = np.zeros(len(words), np.int64)
-        if len(words):
-            offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
-            lead = np.frombuffer(words.buffers()[2], np.uint8)[offsets].astype(np.int64) & (OTHER - 1)
         model = (at >= 0) & (at < MODEL - 1)
-        ids = np.where(model, at + 1, MODEL + lead)
+        bucket, row = buckets(words)
         counts = np.where(at >= 0, self.counts[at], -1) if len(self.counts) else np.full(len(words), -1)
+        ids = np.where(model, at + 1, MODEL + bucket)
+        seen = np.where(model, at + 1, MODEL + np.where(counts >= SEEN, row, HASHED + bucket // WIDTH))
         ends = np.cumsum(n)
         cold = words.filter(pa.array(at < 0))
-        return np.insert(ids, ends, 0), np.insert(counts, ends, self.texts), np.repeat(np.arange(len(n)), n + 1), cold
+        return np.insert(ids, ends, 0), np.insert(seen, ends, 0), np.insert(counts, ends, self.texts), np.repeat(np.arange(len(n)), n + 1), cold
 
 
-def contexts(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words one and two before each token in its text."""
-    one, two = np.full(len(ids), START), np.full(len(ids), START)
-    if len(ids) > 1:
-        one[1:] = np.where(doc[1:] == doc[:-1], ids[:-1], START)
-    if len(ids) > 2:
-        two[2:] = np.where(doc[2:] == doc[:-2], ids[:-2], START)
+def contexts(seen: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts one and two before each token in its text."""
+    one, two = np.full(len(seen), START), np.full(len(seen), START)
+    if len(seen) > 1:
+        one[1:] = np.where(doc[1:] == doc[:-1], seen[:-1], START)
+    if len(seen) > 2:
+        two[2:] = np.where(doc[2:] == doc[:-2], seen[:-2], START)
     return one, two
 
 
@@ -151,47 +172,52 @@ def _update(w: np.ndarray, acc: np.ndarray, feats: list[np.ndarray], g: np.ndarr
         # pairs of floats added as complex numbers take half the steps
         rows, sums = s[first], np.add.reduceat(g.view(np.complex64).take(order, 0), first).view(np.float32)
         acc[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-        w[rows] -= sums * (RATE / np.sqrt(acc[rows] + 1e-3))[:, None]
-
+        w[rows] -= sums * (RATE / np.sqrt(acc[rows] + EASE))[:, None]
 
-def _class(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < MODEL, ids // WIDTH, ids - MODEL + CLASSES)
 
-
-def train_on(w: Weights, v: Vocabulary, ids: np.ndarray, doc: np.ndarray) -> None:
-    one, two = contexts(ids, doc)
-    cls = _class(ids)
+def train_on(w: Weights, v: Vocabulary, ids: np.ndarray, seen: np.ndarray, doc: np.ndarray) -> None:
+    one, two = contexts(seen, doc)
+    cls, place = ids // WIDTH, ids % WIDTH
     for a in range(0, len(ids), BATCH):
         s = slice(a, a + BATCH)
         feats = Weights.features(one[s], two[s])
         p = _level(w.upper, feats, v.class_bias)
-        p[np.arange(len(p)), cls[s]] -= 1
+        at = np.arange(len(p))
+        p[at, cls[s]] -= 1
         _update(w.upper, w.sums[0], feats, p)
-        k = np.flatnonzero(ids[s] < MODEL) + a
-        if len(k):
-            feats = Weights.within(one[k], two[k], cls[k])
-            p = _level(w.lower, feats, v.word_bias[cls[k]])
-            p[np.arange(len(k)), ids[k] % WIDTH] -= 1
-            _update(w.lower, w.sums[1], feats, p)
+        feats = Weights.within(one[s], two[s], cls[s])
+        p = _level(w.lower, feats, v.word_bias[cls[s]])
+        p[at, place[s]] -= 1
+        _update(w.lower, w.sums[1], feats, p)
 
 
-def log10_probability(w: Weights, v: Vocabulary, ids: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def log10_probability(w: Weights, v: Vocabulary, ids: np.ndarray, seen: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """log10 of each token's probability; for words that aren't frequent (count -1), without log10(count + 0.5)."""
-    one, two = contexts(ids, doc)
-    cls, out = _class(ids), np.zeros(len(ids))
+    one, two = contexts(seen, doc)
+    cls, place, out = ids // WIDTH, ids % WIDTH, np.zeros(len(ids))
     for a in range(0, len(ids), BATCH):
         s = slice(a, a + BATCH)
         p = _level(w.upper, Weights.features(one[s], two[s]), v.class_bias)
-        out[s] = np.log10(np.maximum(p[np.arange(len(p)), cls[s]], 1e-30))
-        k = np.flatnonzero(ids[s] < MODEL) + a
-        if len(k):
-            p = _level(w.lower, Weights.within(one[k], two[k], cls[k]), v.word_bias[cls[k]])
-            out[k] += np.log10(np.maximum(p[np.arange(len(k)), ids[k] % WIDTH], 1e-30))
+        at = np.arange(len(p))
+        out[s] = np.log10(np.maximum(p[at, cls[s]], 1e-30))
+        p = _level(w.lower, Weights.within(one[s], two[s], cls[s]), v.word_bias[cls[s]])
+        out[s] += np.log10(np.maximum(p[at, place[s]], 1e-30))
     rest = ids >= MODEL
     out[rest] += np.where(counts[rest] >= 0, np.log10(np.maximum(counts[rest], 0) + 0.5), 0) - v.other[ids[rest] - MODEL]
     return out
 
 
+def _bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For batches of (word, c): the counts' sum and the number of words of each bucket."""
+    n, v = np.zeros(TARGETS - MODEL, np.int64), np.zeros(TARGETS - MODEL, np.int64)
+    for batch in batches:
+        k, _ = buckets(batch.column(0))
+        np.add.at(n, k, batch.column(1).to_numpy())
+        v += np.bincount(k, minlength=len(v))
+    k = np.flatnonzero(v)
+    yield pa.record_batch({"k": pa.array(k.astype(np.int32)), "n": pa.array(n[k]), "v": pa.array(v[k])})
+
+
 def _vocabulary(counts: DataFrame, texts: int) -> tuple[Vocabulary, int]:
     """The vocabulary, and the least count that makes a word frequent."""
     level = F.floor(F.log2("c") * 16).cast("int")
@@ -204,12 +230,14 @@ def _vocabulary(counts: DataFrame, texts: int) -> tuple[Vocabulary, int]:
     hot = counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words, c = hot["word"].to_pylist(), hot["c"].to_pylist()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    lead = F.conv(F.hex(F.substring(F.encode("word", "UTF-8"), 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(OTHER - 1))
-    by = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy(lead.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    for word, k in zip(words[: MODEL - 1], c[: MODEL - 1], strict=True):
-        i = word.encode()[0] & (OTHER - 1)
-        by[i] = (by[i][0] - k, by[i][1] - 1)
-    return Vocabulary(words, c, texts, sums[0] + texts, sums[1] + (texts > 0), [by.get(i, (0, 0)) for i in range(OTHER)]), least
+    by = counts.select("word", "c").mapInArrow(_bucket_sums, "k int, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    n, v = np.zeros(TARGETS - MODEL, np.int64), np.zeros(TARGETS - MODEL, np.int64)
+    for r in by:
+        n[r["k"]], v[r["k"]] = r["n"], r["v"]
+    own, _ = buckets(pa.array(words[: MODEL - 1], pa.string()))
+    np.subtract.at(n, own, c[: MODEL - 1])
+    np.subtract.at(v, own, 1)
+    return Vocabulary(words, c, texts, sums[0] + texts, sums[1] + (texts > 0), list(zip(n.tolist(), v.tolist(), strict=True))), least
 
 
 def train(docs: DataFrame, vocabulary, rounds: int = ROUNDS) -> Weights:
@@ -223,8 +251,8 @@ def train(docs: DataFrame, vocabulary, rounds: int = ROUNDS) -> Weights:
             w, v, tokens = Weights(held.value.copy()), vocabulary.value, 0
             for batch in batches:
                 for a, b in slices(batch.column(0), AT_ONCE):
-                    ids, _, doc, _ = v.encode(batch.column(0).slice(a, b - a))
-                    train_on(w, v, ids, doc)
+                    ids, near, _, doc, _ = v.encode(batch.column(0).slice(a, b - a))
+                    train_on(w, v, ids, near, doc)
                     tokens += len(ids)
             if tokens:
                 for i in range(0, len(w.flat), CHUNK):
@@ -269,8 +297,8 @@ def score(docs: DataFrame, learns: str) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column("text"), AT_ONCE):
                 m = b - a
-                ids, c, doc, cold = voc.encode(batch.column("text").slice(a, m))
-                p = log10_probability(weights, voc, ids, c, doc)
+                ids, near, c, doc, cold = voc.encode(batch.column("text").slice(a, m))
+                p = log10_probability(weights, voc, ids, near, c, doc)
                 base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0) - np.log10(voc.total)
                 sums = lambda x: np.bincount(doc, weights=x, minlength=m)  # noqa: B023, E731
                 own = np.arange(n, n + m)
