@@ -43,6 +43,8 @@ SHARE = 1 << 21
 #: Frequent words whose counts every executor gets, at most (about 20 bytes each).
 HOT = 1 << 19
 AT_ONCE = 6 << 20
+#: Runs of so many rows at most are summed together.
+RUN = 6
 #: Weights that are averaged together.
 CHUNK = 1 << 16
 
@@ -110,7 +112,8 @@ class Vocabulary:
         words, n = split(texts)
         at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy()
         model = (at >= 0) & (at < MODEL - 1)
-        bucket, row = buckets(words)
+        bucket, row = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        bucket[~model], row[~model] = buckets(words.filter(pa.array(~model)))
         counts = np.where(at >= 0, self.counts[at], -1) if len(self.counts) else np.full(len(words), -1)
         ids = np.where(model, at + 1, MODEL + bucket)
         seen = np.where(model, at + 1, MODEL + np.where(counts >= SEEN, row, HASHED + bucket // WIDTH))
@@ -164,13 +167,24 @@ def _level(w: np.ndarray, feats: list[np.ndarray], bias: np.ndarray) -> np.ndarr
     return _softmax(z)
 
 
+def _row_sums(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that start at `first`: long runs one by one, short ones together, row after row."""
+    n, out = np.diff(first, append=len(g)), g.take(first, 0)
+    for k in np.flatnonzero(n > RUN).tolist():
+        np.add.reduce(g[first[k] : first[k] + n[k]], 0, out=out[k])
+    k = np.flatnonzero((n > 1) & (n <= RUN))
+    for j in range(1, RUN):
+        out[k] += g.take(first[k] + j, 0)
+        k = k[n[k] > j + 1]
+    return out
+
+
 def _update(w: np.ndarray, acc: np.ndarray, feats: list[np.ndarray], g: np.ndarray) -> None:
     for f in feats:
         order = np.argsort(f.astype(np.uint16), kind="stable")
         s = f[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        # pairs of floats added as complex numbers take half the steps
-        rows, sums = s[first], np.add.reduceat(g.view(np.complex64).take(order, 0), first).view(np.float32)
+        rows, sums = s[first], _row_sums(g.take(order, 0), first)
         acc[rows] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
         w[rows] -= sums * (RATE / np.sqrt(acc[rows] + EASE))[:, None]
 
