@@ -6,7 +6,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -196,18 +195,3 @@ def test_language_model_beats_counts_on_held_out_texts(spark):
     tokens_ = sum(r["n_tokens"] for r in got)
     assert sum(r["score"] for r in got) / tokens_ > sum(r["base_score"] for r in got) / tokens_ + 0.2
     assert np.mean([r["score"] > r["base_score"] for r in got]) > 0.9
-
-
-def test_row_sums_and_buckets():
-    rng = np.random.default_rng(1)
-    for high in (1, 3, 40, 5000):
-        s = np.sort(rng.integers(0, high, 2000))
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        g = rng.normal(size=(2000, 64)).astype(np.float32)
-        assert np.allclose(langmodel._row_sums(g, first), np.add.reduceat(g.astype(np.float64), first), atol=1e-3)
-    words = pa.array(["x", "a", "é", "word", "long-word-of-many-letters", "word"])
-    bucket, row = langmodel.buckets(words)
-    assert bucket[3] == bucket[5] and row[3] == row[5] and len(set(row)) == 5
-    assert np.array_equal(langmodel.buckets(words.slice(2))[0], bucket[2:])  # arrays with an offset
-    assert [b // langmodel.WIDTH for b in bucket] == [w.encode()[0] & (langmodel.OTHER - 1) for w in words.to_pylist()]
-    assert not len(langmodel.buckets(words[:0])[0])
