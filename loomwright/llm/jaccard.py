@@ -11,8 +11,11 @@ shingles, which can't make sets differ more; the last scheme has all shingles, a
 its own band and, where a smaller partner could be in the band below, that band too.
 
 Sets with a common signature are tied to one of them and verified on their texts. Where a signature's sets don't all end
-up in one component, a set is only looked at further if it could be linked with another component: at least 0.8 of its
-shingles stand in other components too. That is counted over all such sets, again and again as sets drop out. What is
+up in one component, a set is only looked at further if it could be linked with another component. A set all of whose parts
+count but for f <= E in the first scheme shares E + 1 - f signatures with each partner, so one that has fewer in common
+with other components drops out, and the others leave their largest groups while what they leave is less than that: a
+pair's smallest common group keeps both. Of the rest, at least 0.8 of a set's shingles stand in other components too. That
+is counted over all such sets, again and again as sets drop out. What is
 left is tied to two more sets of its signature, and in the end pairs across components are verified too, unless these
 counts, a sketch of 512 parities of what a set shares with other components (each parity that differs takes a shingle
 that only one of the sets has), or the triangle inequality of the Jaccard distance rule them out. So no link between components is lost, and
@@ -30,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import slices, tidy
@@ -61,7 +64,7 @@ _SIGNS[[9, 10, 11, 12, 13, 32]] = False
 _C = np.random.default_rng(9).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _S31, _S29 = np.uint64(31), np.uint64(29)
 _ROW = np.dtype([("sig", "<u8"), ("key", "<i8")])
-_SET = np.dtype([("key", "<i8"), ("n", "<i8"), ("sketch", "<i8", 8)])
+_SET = np.dtype([("key", "<i8"), ("n", "<i8"), ("least", "<i8"), ("sketch", "<i8", 8)])
 
 
 def mixed(x: np.ndarray, c: int = 0) -> np.ndarray:
@@ -99,7 +102,12 @@ _EDGES = np.array(_bands(1 << 40))
 
 def signatures(x: np.ndarray, frequent: np.ndarray, subparts: int = SUBPARTS, misses: int = MISSES) -> np.ndarray:
     """The signatures of a set of shingle hashes; frequent: sorted hashes that only the last scheme has."""
-    out = []
+    return signed(x, frequent, subparts, misses)[0]
+
+
+def signed(x: np.ndarray, frequent: np.ndarray, subparts: int = SUBPARTS, misses: int = MISSES) -> tuple[np.ndarray, int]:
+    """signatures(), and how many of them the set shares at least with each set that it is linked with."""
+    out, least = [], []
     own = int(np.searchsorted(_EDGES, len(x)))
     # the band below, if its greatest size could be a partner's
     levels = [own] + ([own - 1] if own and _EDGES[own - 1] >= SIMILAR * len(x) else [])
@@ -131,7 +139,9 @@ def signatures(x: np.ndarray, frequent: np.ndarray, subparts: int = SUBPARTS, mi
                 out.append(sig[any_full] if not last or few <= slack else sig)
             if few <= slack:
                 break
-    return np.concatenate(out) if out else x[:0]
+        # past the first scheme, a partner may have ended in an earlier one with a single signature in common
+        least.append(1 if scheme else max(1, slack + 1 - few))
+    return (np.concatenate(out) if out else x[:0]), min(least, default=1)
 
 
 @functools.cache
@@ -181,9 +191,9 @@ def _sign(frequent, buckets: int, set_buckets: int):
                 if not fresh:
                     continue
                 for i, x in zip(fresh, shingle_sets(texts.take(pa.array(fresh))), strict=True):
-                    sizes.append((all_keys[i], len(x), sketch(x)))
+                    s, least = signed(x, frequent.value) if len(x) else (x, 1)
+                    sizes.append((all_keys[i], len(x), least, sketch(x)))
                     if len(x):
-                        s = signatures(x, frequent.value)
                         sigs.append(s)
                         keys.append(np.full(len(s), all_keys[i], np.int64))
                         held += len(s)
@@ -198,10 +208,10 @@ def _sign(frequent, buckets: int, set_buckets: int):
 
 @tidy
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, s0 to s7) of sets, and (key, rep, bid): keys of sets with a common signature.
+    """Rows (key, n, least, s0 to s7) of sets, and (key, rep, bid, times): keys of sets with a common signature.
 
     The rows come sorted by bucket, and one bucket is worked on at a time. bid names a group of three keys or more (null
-    for two); equal groups of a bucket are given once.
+    for two); equal groups of a bucket are given once, times being the number of their signatures.
     """
     now, parts = None, []
     for batch in batches:
@@ -220,7 +230,7 @@ def _bucket(bucket: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     parts.clear()
     if bucket < 0:
         rows = rows[np.unique(rows["key"], return_index=True)[1]]
-        yield _rows(rows["key"], n=rows["n"], sketch=rows["sketch"])
+        yield _rows(rows["key"], n=rows["n"], least=rows["least"], sketch=rows["sketch"])
         return
     order = np.argsort(rows["sig"], kind="stable")
     sig = rows["sig"][order]
@@ -237,22 +247,22 @@ def _bucket(bucket: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     count = np.diff(np.append(first, len(sig)))
     bid = np.add.reduceat(mixed(key.astype(np.uint64), 3), first)
-    _, pick = np.unique(bid, return_index=True)
-    pick = pick[count[pick] > 1]
+    _, pick, times = np.unique(bid, return_index=True, return_counts=True)
+    pick, times = pick[count[pick] > 1], times[count[pick] > 1]
     n = count[pick]
     at = np.repeat(first[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     step = 1 << 16
     for a in range(0, len(at), step):
         s = slice(a, a + step)
-        yield _rows(key[at[s]], rep=np.repeat(key[first[pick]], n)[s], bid=np.repeat(bid[pick], n)[s].view(np.int64), two=np.repeat(n == 2, n)[s])
+        yield _rows(key[at[s]], rep=np.repeat(key[first[pick]], n)[s], bid=np.repeat(bid[pick], n)[s].view(np.int64), two=np.repeat(n == 2, n)[s], times=np.repeat(times, n)[s])
 
 
-_NAMES = ["key", "n", "rep", "bid", *[f"s{i}" for i in range(8)]]
+_NAMES = ["key", "n", "least", "rep", "times", "bid", *[f"s{i}" for i in range(8)]]
 
 
-def _rows(key, n=None, rep=None, bid=None, two=None, sketch=None) -> pa.RecordBatch:
+def _rows(key, n=None, least=None, rep=None, bid=None, two=None, times=None, sketch=None) -> pa.RecordBatch:
     kind, size = pa.int64(), len(key)
-    cols = [pa.array(np.ascontiguousarray(c), kind) if c is not None else pa.nulls(size, kind) for c in (key, n, rep)]
+    cols = [pa.array(np.ascontiguousarray(c), kind) if c is not None else pa.nulls(size, kind) for c in (key, n, least, rep, times)]
     cols.append(pa.array(bid, kind, mask=two) if bid is not None else pa.nulls(size, kind))
     cols += [pa.array(np.ascontiguousarray(sketch[:, i]), kind) if sketch is not None else pa.nulls(size, kind) for i in range(8)]
     return pa.record_batch(cols, names=_NAMES)
@@ -317,7 +327,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(some: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(key, c, n, v, k0 to k7) of those of some (key, c, n) that could be linked with one of another component c.
+    """(key, c, n, least, v, k0 to k7) of those of some (key, c, n, least) that could be linked with one of another component c.
 
     v counts a set's shingles that stand in other components too; k0 to k7 are a sketch of these alone. A set with
     v < 0.8 n has no link to any other component and drops out, and its shingles with it, until few more do.
@@ -330,7 +340,7 @@ def _open(some: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame
         common = materialize(found.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s"), "common")
         kept = materialize(found.join(common, "s"), "shingles")
         counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("v"), *bits)
-        new = materialize(now.select("key", "c", "n").join(counts, "key").where("5 * v >= 4 * n"), "open")
+        new = materialize(now.select("key", "c", "n", "least").join(counts, "key").where("5 * v >= 4 * n"), "open")
         before, left = left, new.count()
         for old in (now, found, common):
             forget(old)
@@ -367,16 +377,17 @@ def _groups(docs: DataFrame) -> DataFrame:
     found = materialize(dealt.sortWithinPartitions("bucket").mapInArrow(_match, ", ".join(f"{x} bigint" for x in _NAMES)), "matches")
     release_shuffles(spark)
     marks = [f"s{i}" for i in range(8)]
-    sets = materialize(found.where("n IS NOT NULL").select("key", "n", *marks), "sets")
+    sets = materialize(found.where("n IS NOT NULL").select("key", "n", "least", *marks), "sets")
     sizes = sets.select("key", "n")
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
-    members = materialize(found.where("rep IS NOT NULL").select("bid", "rep", "key").where("bid IS NOT NULL OR key <> rep").distinct(), "members")
+    members = materialize(found.where("rep IS NOT NULL AND (bid IS NOT NULL OR key <> rep)").groupBy("bid", "rep", "key").agg(F.sum("times").alias("times")), "members")
     forget(found)
     release_shuffles(spark)
 
     # what may be similar by sizes and sketches goes on; of the other pairs, the least distance is kept
-    pairs = members.where("key <> rep").select("key", "rep").distinct().join(sets, "key")
-    pairs = pairs.join(sets.select(*[F.col(c).alias("rep" if c == "key" else f"r{c}") for c in sets.columns]), "rep")
+    sketches = sets.drop("least")
+    pairs = members.where("key <> rep").select("key", "rep").distinct().join(sketches, "key")
+    pairs = pairs.join(sketches.select(*[F.col(c).alias("rep" if c == "key" else f"r{c}") for c in sketches.columns]), "rep")
     far = f"greatest({_apart('', 'r')}, abs(n - rn))"
     pairs = materialize(pairs.selectExpr("key", "rep", f"{far} AS apart", f"2.0D * {far} / (n + rn + {far}) AS lo", "n + rn AS both"), "pairs")
 
@@ -407,7 +418,23 @@ def _groups(docs: DataFrame) -> DataFrame:
     split = F.min("c") != F.max("c")
 
     def in_split(own: DataFrame) -> DataFrame:
-        return own.join(own.groupBy("bid").agg(split.alias("split")).where("split").select("bid"), "bid")
+        return own.join(own.groupBy("bid").agg(split.alias("split"), F.count(F.lit(1)).alias("sets")).where("split").select("bid", "sets"), "bid")
+
+    def enough(own: DataFrame, marked: DataFrame) -> DataFrame:
+        """(key, c, n, least) of own (bid, key, times, c) that have so many signatures in common with other components; marked (key, n, least)."""
+        own = in_split(own).groupBy("key", "c").agg(F.sum("times").alias("times"))
+        return own.join(marked, "key").where("times >= least").select("key", "c", "n", "least")
+
+    def narrowed(some: DataFrame) -> DataFrame:
+        """(bid, rep, key, c) of the groups that some (key, c, n, least) are to be compared in; each may leave its largest ones."""
+        own = materialize(many.join(some.select("key", "c", "least"), "key"), "held")
+        largest = Window.partitionBy("key").orderBy(F.desc("sets"), "bid").rowsBetween(Window.unboundedPreceding, 0)
+        cut = in_split(own).withColumn("left", F.sum("times").over(largest)).where("left >= least").select("bid", "rep", "key", "c")
+        cut = materialize(cut, "narrowed")
+        forget(own)
+        out = materialize(in_split(cut).drop("sets"), "narrowed")
+        forget(cut)
+        return out
 
     def component(keys: DataFrame) -> DataFrame:
         return keys.join(groups, F.col("key") == F.col("node"), "left").withColumn("c", F.coalesce("component", "key")).drop("node", "component")
@@ -419,25 +446,28 @@ def _groups(docs: DataFrame) -> DataFrame:
             return groups
         return materialize(components(groups.selectExpr("node AS u", "component AS v").unionByName(new)), "components")
 
-    some = in_split(component(many)).select("key", "c").distinct().join(sizes, "key")
-    live = _open(some.select("key", "c", "n"), texts)
+    live = _open(enough(component(many), sets.select("key", "n", "least")), texts)
     done = star
     if live.limit(1).count():
         # ties to two other sets of each such signature join most of what is linked
-        own = in_split(many.join(live, "key"))
+        own = narrowed(live)
         others = [F.max("key"), F.min(F.struct(F.xxhash64("key"), "key"))["key"]]
         hubs = own.groupBy("bid").agg(F.array_distinct(F.array(*others)).alias("hubs")).select("bid", F.explode("hubs").alias("hub"))
-        hubs = hubs.join(live.select(*[F.col(x).alias("hub" if x == "key" else f"h{x}") for x in live.columns]), "hub")
-        tied = own.join(hubs, "bid").where(f"c <> hc AND 9 * {_apart_common('', 'h')} <= n + hn").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("rep")).distinct()
+        marked = live.drop("c", "least")
+        hubs = hubs.join(live.select(*[F.col(x).alias("hub" if x == "key" else f"h{x}") for x in (*marked.columns, "c")]), "hub")
+        tied = own.join(marked, "key").join(hubs, "bid").where(f"c <> hc AND 9 * {_apart_common('', 'h')} <= n + hn").select(F.greatest("key", "hub").alias("key"), F.least("key", "hub").alias("rep")).distinct()
         more = check(tied.join(star.select("key", "rep"), ["key", "rep"], "left_anti"), "verified")
+        forget(own)
         done = star.unionByName(more)
         groups = joined(more)
         release_shuffles(spark)
 
-        some = in_split(component(many.join(live.select("key", "n"), "key"))).select("key", "c", "n").distinct()
-        live = _open(some, texts)
+        now = materialize(component(live.select("key", "n", "least")), "open")
+        live = _open(enough(many.join(now.select("key", "c"), "key"), now.select("key", "n", "least")), texts)
+        forget(now)
         known = pairs.join(star, ["key", "rep"], "left").selectExpr("key", "rep", "coalesce(1.0D - common / union, lo) AS lo", "coalesce(1.0D - common / union, 1.0D) AS hi")
-        rest = in_split(many.join(live, "key")).join(known, ["key", "rep"], "left")
+        own = narrowed(live)
+        rest = own.join(live.drop("c"), "key").join(known, ["key", "rep"], "left")
         rest = rest.select("bid", *live.columns, F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.coalesce("lo", F.lit(0.0))).alias("lo"), F.when(F.col("key") == F.col("rep"), 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi"))
         rest = materialize(rest, "split")
         x, y = rest.alias("x"), rest.alias("y")
@@ -446,7 +476,7 @@ def _groups(docs: DataFrame) -> DataFrame:
         across = across.select(F.greatest("x.key", "y.key").alias("key"), F.least("x.key", "y.key").alias("rep")).distinct()
         across = materialize(across, "across").join(done.select("key", "rep"), ["key", "rep"], "left_anti")
         groups = joined(check(across, "verified"))
-        for old in (rest, more):
+        for old in (rest, more, own):
             forget(old)
     for old in (members, pairs, star, live):
         forget(old)

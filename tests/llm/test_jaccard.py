@@ -62,6 +62,37 @@ def test_subsets_of_parts_cover_similar_sets(subparts, misses):
                 assert np.intersect1d(a, b).size
 
 
+def test_linked_sets_share_as_many_signatures_as_stated():
+    """Sets that differ as much as links allow have at least the stated number of signatures in common."""
+    rng = np.random.default_rng(10)
+    stated = []
+    for n in (1, 4, 30, 150, 700):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            lost = n // 10
+            for y in (np.unique(np.concatenate([rng.permutation(x)[lost:], rng.integers(0, 1 << 63, lost, dtype=np.uint64)])), np.sort(rng.permutation(x)[n // 5 :])):
+                for frequent in (x[:0], np.sort(rng.permutation(x)[: int(0.4 * n)]), np.sort(rng.permutation(x)[: int(0.9 * n)])):
+                    (a, least), (b, other) = (jaccard.signed(z, frequent) for z in (x, y))
+                    stated.append(max(least, other))
+                    assert len(np.intersect1d(a, b)) >= stated[-1]
+    assert min(stated) == 1 and max(stated) > 15
+
+
+def test_texts_that_share_a_passage_are_left_early(spark, monkeypatch):
+    """Three texts with half of their words in common have few signatures together: their shingles aren't gathered."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    texts = []
+    for _ in range(20):
+        passage = [word() for _ in range(220)]
+        texts += [" ".join([*passage, *(word() for _ in range(200))]) for _ in range(3)]
+    seen, plain = [], jaccard._open
+    monkeypatch.setattr(jaccard, "_open", lambda some, texts: seen.append(some.count()) or plain(some, texts))
+    got = jaccard.with_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == 60
+    assert seen == [0]
+
+
 def test_clashing_names_and_types(spark):
     """Helper columns take names that docs doesn't have; ids may be of a smaller type."""
     text = lambda g, more="": " ".join(f"w{g}_{k}" for k in range(40)) + more
