@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import materialize, table
-from loomwright.llm.decontam import decontaminate
+from loomwright.llm.common import materialize, small_batches, table
+from loomwright.llm.decontam import BATCH_ROWS, decontaminate
 from loomwright.llm.jaccard import drop_near_copies
 from loomwright.llm.mixing import mix
 from loomwright.llm.quality import quality
@@ -31,7 +31,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Written in the stage itself: whole rows go to the workers and back, in small Arrow batches."""
+    with small_batches(spark, BATCH_ROWS):
+        return materialize(decontaminate(docs, table(spark, sf_dir, "benchmark")), "decontamination")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +47,9 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("quality rules", quality_rules), ("near copies", near_copies), ("decontamination", decontamination), ("source mixing", mixing), ("token output", token_output)]
 
+#: Stages whose results are in a table already.
+WRITTEN = {"decontamination"}
+
 #: Token ids can't be made in SQL; the stages are tested one by one against brute force instead.
 ORACLE_SQL = None
 
@@ -53,6 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        if k < len(STAGES) - 1 and name not in WRITTEN:
             docs = materialize(docs, name.replace(" ", "-"))
     return docs

@@ -26,6 +26,8 @@ from .common import fresh, table
 WINDOW, BLOCK = 13, 2
 #: Bits of a shift table's index, at least and at most; words of a lane; bytes of text searched, and of words compared, at once.
 BITS, LANE, AT_ONCE, COMPARED = (12, 26), 512, 1 << 20, 4 << 20
+#: Words that are hashed at once; rows of an Arrow batch, each with whole texts.
+HASHED, BATCH_ROWS = 1 << 14, 1000
 #: Benchmark text that is held at once, in bytes; a larger benchmark is searched in several passes without a shuffle.
 BENCH_BYTES = 16 << 20
 
@@ -51,14 +53,13 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.bounds = np.searchsorted(self.start, offsets)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
-        if len(self.start):
-            at = np.flatnonzero(inside)
-            length = self.end - self.start
+        self.hash = np.zeros(len(self.start), np.uint64)
+        for k in range(0, len(self.start), HASHED):  # a byte takes some 40 bytes here
+            start = self.start[k : k + HASHED]
+            length = self.end[k : k + HASHED] - start
             first = np.cumsum(length) - length
-            place = np.arange(len(at)) - np.repeat(first, length)
-            self.hash = np.add.reduceat((self.data[at].astype(np.uint64) + np.uint64(1)) * _PLACES[place & 4095], first)
-        else:
-            self.hash = np.zeros(0, np.uint64)
+            at, place = _spread(start, length), _spread(np.zeros(len(start), np.int64), length)
+            self.hash[k : k + HASHED] = np.add.reduceat((self.data[at].astype(np.uint64) + np.uint64(1)) * _PLACES[place & 4095], first)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

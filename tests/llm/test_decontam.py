@@ -3,6 +3,7 @@
 import re
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +84,14 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024, floa
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
     mb, zero = map(float, out.stdout.split())
     assert mb < 1000 and zero < 0.15, out
+
+
+def test_memory_of_hashing_words(monkeypatch):
+    texts = pa.array([None, "", "É ß9" * 5000, "x" * 100_000, *[" ".join(f"word{i * j % 997}" for j in range(1000)) for i in range(120)]])
+    tracemalloc.start()
+    whole = decontam.Words(texts).hash
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    monkeypatch.setattr(decontam, "HASHED", 7)
+    assert (decontam.Words(texts).hash == whole).all() and len(whole) > 2 << 14

@@ -132,3 +132,16 @@ def test_stages_keep_the_columns(spark, tmp_path, stage):
     out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
     got = {tuple(r) for r in out.collect()}
     assert out.columns == docs.columns and got <= set(rows) and (stage == "source mixing" or got == set(rows))
+
+
+def test_decontamination_in_small_batches(spark, tmp_path, monkeypatch):
+    """The stage's rows have gone through small Arrow batches by the time it returns; the session's setting is as before."""
+    bench = [(1, "x y z")]
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes = lambda batches: (b.set_column(0, "doc_id", pa.array([b.num_rows] * b.num_rows, pa.int64())) for b in batches)
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", lambda docs, bench: docs.mapInArrow(sizes, docs.schema))
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = corpus_pipeline.decontamination(spark, spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text"), str(tmp_path))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == setting
+    rows = out.collect()
+    assert len({r["text"] for r in rows}) == len(rows) == 3000 and max(r["doc_id"] for r in rows) <= 1000
